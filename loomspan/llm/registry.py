@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.llm import packing, quality, token_files
+from loomspan.llm import minhash, packing, quality, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
     "op4_token_files": token_files.op4_token_files,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op8_quality_rules": quality.op8_quality_rules,
