@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.llm import minhash, packing, quality, token_files
+from loomspan.llm import minhash, mixing, packing, quality, token_files, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
+    "op2_source_mixing": mixing.op2_source_mixing,
     "op4_token_files": token_files.op4_token_files,
+    "op5_exact_top_k": topk.op5_exact_top_k,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op8_quality_rules": quality.op8_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_exact_top_k": topk.ORACLE,
+}
