@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.llm import lattice_lm, minhash, mixing, packing, quality, token_files, topk
+from loomspan.llm import chat, lattice_lm, minhash, mixing, packing, quality, token_files, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
@@ -14,10 +14,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_files": token_files.op4_token_files,
     "op5_exact_top_k": topk.op5_exact_top_k,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
+    "op9_chat_format": chat.op9_chat_format,
     "op10_lattice_lm": lattice_lm.op10_lattice_lm,
     "op8_quality_rules": quality.op8_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_top_k": topk.ORACLE,
+    "op9_chat_format": chat.ORACLE,
 }
