@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.llm import chat, lattice_lm, minhash, mixing, packing, quality, token_files, topk
+from loomspan.llm import chat, lattice_lm, minhash, mixing, packing, pii, quality, token_files, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
     "op2_source_mixing": mixing.op2_source_mixing,
+    "op3_pii_pseudonyms": pii.op3_pii_pseudonyms,
     "op4_token_files": token_files.op4_token_files,
     "op5_exact_top_k": topk.op5_exact_top_k,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
