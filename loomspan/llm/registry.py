@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.llm import chat, lattice_lm, minhash, mixing, packing, pii, quality, token_files, topk
+from loomspan.llm import chat, language_id, lattice_lm, minhash, mixing, packing, pii, quality, token_files, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op9_chat_format": chat.op9_chat_format,
     "op10_lattice_lm": lattice_lm.op10_lattice_lm,
+    "op7_language_id": language_id.op7_language_id,
     "op8_quality_rules": quality.op8_quality_rules,
 }
 
