@@ -140,18 +140,18 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     plan = mixing_plan(docs, **how)
     # rows that share an id: the n-th of the plan goes with the n-th of the documents of that size and source
     ids = docs.groupBy(F.col("doc_id").alias("__id")).count().where("count > 1 or __id is null")
-    takes = plan.where("times > 0").select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("source").alias("__source"), "shards")
+    takes = plan.where("times > 0").select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("source").alias("__source"), F.col("shards").alias("__shards"))
     if ids.isEmpty():
-        both = docs.join(takes.select("__id", "shards"), F.col("doc_id") == F.col("__id"))
+        both = docs.join(takes.select("__id", "__shards"), F.col("doc_id") == F.col("__id"))
     else:
         here = Window.partitionBy("__id", "__size", "__source").orderBy(F.lit(0))
-        all_takes = plan.select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("source").alias("__source"), "times", "shards").withColumn("__n", F.row_number().over(here))
+        all_takes = plan.select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("source").alias("__source"), F.col("times").alias("__times"), F.col("shards").alias("__shards")).withColumn("__n", F.row_number().over(here))
         numbered = docs.withColumns({"__id2": F.col("doc_id"), "__size2": count_words(F.col("text")), "__source2": F.col("source")})
         there = Window.partitionBy("__id2", "__size2", "__source2").orderBy(F.col("text"))
         numbered = numbered.withColumn("__n2", F.row_number().over(there))
         same = F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__size") == F.col("__size2")) & F.col("__source").eqNullSafe(F.col("__source2")) & (F.col("__n") == F.col("__n2"))
-        both = numbered.join(all_takes.where("times > 0"), same)
-    out = both.select(*(docs[c] for c in columns), F.posexplode("shards").alias("__pass", "__shard"))
+        both = numbered.join(all_takes.where("__times > 0"), same)
+    out = both.select(*(docs[c] for c in columns), F.posexplode("__shards").alias("__pass", "__shard"))
     return out.repartition("__shard").sortWithinPartitions("__shard", F.xxhash64(F.lit(seed + 2), "__shard", "doc_id", "__pass")).select(*columns)
 
 

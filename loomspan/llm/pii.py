@@ -181,19 +181,19 @@ def _replaced(m: Column, key: str) -> Column:
     return out.otherwise(none)
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
-    """``docs`` with personal data in ``text`` replaced, and ``pii``: the kinds found, in order."""
+def pseudonymised(docs: DataFrame, key: str = KEY, text: str = "text", kinds_as: str | None = "pii") -> DataFrame:
+    """``docs`` with personal data in ``text`` replaced and, if named, a column of the kinds found, in order."""
     t = F.col(text)
     # a licence's year or version passes this too; the search proper decides
     maybe = t.rlike("[0-9@]")
-    df = docs.withColumn("__m", F.when(maybe, F.regexp_extract_all(t, F.lit(ANY), F.lit(0))))
-    df = df.withColumn("__m", F.when(F.size("__m") > 0, F.col("__m")))
-    df = df.withColumn("__r", F.transform("__m", lambda m: _replaced(m, key)))
+    df = docs.withColumn("__pii__m", F.when(maybe, F.regexp_extract_all(t, F.lit(ANY), F.lit(0))))
+    df = df.withColumn("__pii__m", F.when(F.size("__pii__m") > 0, F.col("__pii__m")))
+    df = df.withColumn("__pii__r", F.transform("__pii__m", lambda m: _replaced(m, key)))
     parts = F.split(t, ANY, -1)
-    joined = F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get(F.col("__r"), i)["new"], F.lit("")))), "")
-    kinds = F.coalesce(F.filter(F.transform("__r", lambda r: r["kind"]), lambda k: k.isNotNull()), F.array().cast("array<string>"))
-    own = [F.when(F.col("__r").isNotNull(), joined).otherwise(t).alias(c) if c == text else F.col(c) for c in docs.columns]
-    return df.select(*own, kinds.alias("pii"))
+    joined = F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get(F.col("__pii__r"), i)["new"], F.lit("")))), "")
+    kinds = F.coalesce(F.filter(F.transform("__pii__r", lambda r: r["kind"]), lambda k: k.isNotNull()), F.array().cast("array<string>"))
+    own = [F.when(F.col("__pii__r").isNotNull(), joined).otherwise(t).alias(c) if c == text else F.col(c) for c in docs.columns]
+    return df.select(*own, *([kinds.alias(kinds_as)] if kinds_as else []))
 
 
 def op3_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

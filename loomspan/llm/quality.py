@@ -122,8 +122,10 @@ def quality_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
 def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that pass, with all their columns."""
     columns = docs.columns
-    df = measured(docs.select("*"))
-    return df.where(verdict(F.col("__q"), rules)[1]).select(*columns)
+    df = measured(docs).select(*columns, verdict(F.col("__q"), rules)[1].alias("__kept"), F.monotonically_increasing_id().alias("__row"))
+    # a filter is never moved below a projection with a row number: else each of its terms would be
+    # replaced by the whole expression that measures it, level by level
+    return df.where(F.col("__kept") & (F.col("__row") >= 0)).select(*columns)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
