@@ -80,7 +80,8 @@ class MapEngine:
             raise ValueError(f"batch_size must be 'auto' or a positive number, not {batch_size!r}")
         self.return_as, self.batch_size, self.timeout, self.where, self.columns, self.frames = return_as, batch_size, timeout, where, columns, frames
         self.backend = make_backend(setting("backend", backend))
-        self.n_jobs, self.verbose, self.pre_dispatch = effective_n_jobs(setting("n_jobs", n_jobs) or -1), int(setting("verbose", verbose)), pre_dispatch
+        jobs = setting("n_jobs", n_jobs)
+        self.n_jobs, self.verbose, self.pre_dispatch = effective_n_jobs(-1 if jobs is None else jobs), int(setting("verbose", verbose)), pre_dispatch
         if return_as.startswith("generator") and not self.backend.streams:
             raise ValueError(f"backend {self.backend.name!r} can't deliver results one by one")
         self._running = threading.Lock()
