@@ -238,23 +238,23 @@ def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float
     """
     columns = docs.columns
     found = written(near_duplicates(docs, width, similarity), "near-duplicates")
-    odd = written(found.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("__id")), "repeated-ids")
-    kept = found.where("kept").select(F.col("doc_id").alias("__id"))
-    plain = docs.join(kept.join(odd, "__id", "left_anti").where("__id is not null"), F.col("doc_id") == F.col("__id"), "left_semi")
+    odd = written(found.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("__minhash_id")), "repeated-ids")
+    kept = found.where("kept").select(F.col("doc_id").alias("__minhash_id"))
+    plain = docs.join(kept.join(odd, "__minhash_id", "left_anti").where("__minhash_id is not null"), F.col("doc_id") == F.col("__minhash_id"), "left_semi")
     if odd.isEmpty():
         return plain.select(*columns)
     # ids that stand for several rows: such a row is known by its id and the fingerprint of its set
-    there = docs.join(odd, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    keys = found.where("kept").join(odd, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    keys = keys.select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"), F.coalesce(F.col("component_key").cast("string"), F.lit("")).alias("__key")).distinct()
-    marked = _with_fingerprint(there, width).join(keys, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__own").eqNullSafe(F.col("__fp")))
+    there = docs.join(odd, F.col("doc_id").eqNullSafe(F.col("__minhash_id")), "left_semi")
+    keys = found.where("kept").join(odd, F.col("doc_id").eqNullSafe(F.col("__minhash_id")), "left_semi")
+    keys = keys.select(F.col("doc_id").alias("__minhash_id"), F.col("fp").alias("__minhash_fp"), F.coalesce(F.col("component_key").cast("string"), F.lit("")).alias("__minhash_key")).distinct()
+    marked = _with_fingerprint(there, width).join(keys, F.col("doc_id").eqNullSafe(F.col("__minhash_id")) & F.col("__minhash_own").eqNullSafe(F.col("__minhash_fp")))
     row = F.struct(*columns)
-    one = marked.where("__key <> ''").groupBy("__key").agg(F.min_by(row, F.struct("text", F.coalesce(F.to_json(row), F.lit("")))).alias("row")).select("row.*")
-    return plain.select(*columns).unionByName(one).unionByName(marked.where("__key = ''").select(*columns))
+    one = marked.where("__minhash_key <> ''").groupBy("__minhash_key").agg(F.min_by(row, F.struct("text", F.coalesce(F.to_json(row), F.lit("")))).alias("row")).select("row.*")
+    return plain.select(*columns).unionByName(one).unionByName(marked.where("__minhash_key = ''").select(*columns))
 
 
 def _with_fingerprint(docs: DataFrame, width: int) -> DataFrame:
-    """``docs`` with ``__own``: the fingerprint of a text's set, null for an empty one."""
+    """``docs`` with ``__minhash_own``: the fingerprint of a text's set, null for an empty one."""
     from pyspark.sql import types as T
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,9 +263,9 @@ def _with_fingerprint(docs: DataFrame, width: int) -> DataFrame:
             for at, end, flat, bounds in sets_of(batch["text"], width):
                 rows = (flat[bounds[i] : bounds[i + 1]].tobytes() for i in range(end - at))
                 own += [hashlib.blake2b(r, digest_size=16).digest() if r else None for r in rows]
-            yield batch.append_column("__own", pa.array(own, pa.binary()))
+            yield batch.append_column("__minhash_own", pa.array(own, pa.binary()))
 
-    return docs.mapInArrow(mark, T.StructType([*docs.schema.fields, T.StructField("__own", T.BinaryType())]))
+    return docs.mapInArrow(mark, T.StructType([*docs.schema.fields, T.StructField("__minhash_own", T.BinaryType())]))
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
