@@ -90,6 +90,8 @@ def scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
                 out[i] += q[i, t] * posting
             else:
                 out[i, at] += q[i, t] * posting
+    if kind is object:  # beyond a long is as good as its end
+        out = np.array([[max(-_LONG, min(_LONG - 1, x)) for x in row] for row in out.tolist()], np.int64).reshape(out.shape)
     return out
 
 
@@ -118,7 +120,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, rows: int = ROWS,
                         keep = np.flatnonzero(v >= least)  # ties too: the order by id decides below
                         free, v = free[keep], v[keep]
                     order = sorted(zip((-int(x) for x in v), ids[free].tolist(), strict=True))[:k]
-                    out += [(own, i, max(-_LONG, min(_LONG - 1, -x))) for x, i in order]
+                    out += [(own, i, -x) for x, i in order]
                 columns = list(zip(*out, strict=True)) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
 
