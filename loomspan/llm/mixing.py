@@ -70,8 +70,8 @@ def split_draws(quotas: Sequence[int], shards: int, seed: int = SEED) -> list[np
     return out
 
 
-def mixing_plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUDGET, most: float = MOST, seed: int = SEED) -> DataFrame:
-    """Per row of ``docs``: doc_id, source, size, source_size, target, times (how often it is taken), taken and shards (of each taking)."""
+def _planned(docs: DataFrame, weights: Sequence[float], budget: float, most: float, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows with source and block, the blocks' draws, how often more each row of the blocks taken in part is taken)."""
     spark = docs.sparkSession
     sized = docs.select("doc_id", "source", count_words(F.col("text")).alias("size"))
     sized = written(sized, "sizes")
@@ -84,7 +84,7 @@ def mixing_plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: flo
     schema = "s int, source string, source_size long, target double, whole int, rest double, n_blocks long"
     sources = spark.createDataFrame(rows, schema)
     placed = sized.withColumnRenamed("source", "own").join(sources, F.col("own").eqNullSafe(F.col("source"))).drop("own")
-    # equal ids share a block, whose rows are then told apart by order alone
+    placed = placed.select("doc_id", "source", "size", "s", "source_size", "target", "whole", "rest", "n_blocks")
     placed = placed.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("n_blocks")))
     blocks = placed.groupBy("s", "block").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("whole").alias("whole"))
     order = Window.partitionBy("s").orderBy(F.xxhash64(F.lit(seed + 1), "s", "block"), "block")
@@ -109,9 +109,10 @@ def mixing_plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: flo
     # draw numbers of a source: pass by pass, blocks in permuted order; shard = how many shards end before
     draws = F.transform(F.when(F.col("whole") + last > 0, F.sequence(F.lit(0), F.col("whole") + last - 1)).otherwise(F.array().cast("array<int>")), lambda p: p * F.col("m") + F.col("place"))
     shard_of = F.transform(draws, lambda d: F.size(F.filter("ends", lambda e: e <= d)))
-    plan = blocks.join(n_blocks, "s").join(bounds, "s").select("s", "block", "part", "room", shard_of.alias("draw_shards"))
+    plan = blocks.join(n_blocks, "s").join(bounds, "s").select("s", "block", "part", "room", "whole", shard_of.alias("draw_shards"))
+    plan = written(plan, "plan")
     # one block a source is taken in part; a block has about BLOCK_DOCS rows
-    joined = placed.join(plan, ["s", "block"])
+    some = placed.join(plan.where("part = 'some'"), ["s", "block"])
 
     def fit(df: pd.DataFrame) -> pd.DataFrame:
         """Largest first, each document that still fits; then the smallest left over, if that comes nearer."""
@@ -123,36 +124,50 @@ def mixing_plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: flo
         rest = np.flatnonzero(more == 0)
         if len(rest) and abs(left - df["size"].iat[rest[-1]]) < left:
             more[rest[-1]] = 1
-        return df.assign(more=more)[["doc_id", "source", "size", "source_size", "target", "whole", "draw_shards", "more"]]
+        return df.assign(more=more)[["s", "doc_id", "size", "more"]]
+
+    fitted = some.select("s", "doc_id", "size", "room").groupBy("s").applyInPandas(fit, "s int, doc_id long, size long, more int")
+    return placed.drop("whole", "rest"), plan, written(fitted, "fitted")
+
 
-    columns = ["doc_id", "source", "size", "source_size", "target", "whole", "draw_shards"]
-    some = joined.where("part = 'some'")
-    kinds = "doc_id long, source string, size long, source_size long, target double, whole int, draw_shards array<int>, more int"
-    some = some.select("s", *columns, "room").groupBy("s").applyInPandas(fit, kinds)
-    rest = joined.where("part <> 'some'").select(*columns, F.when(F.col("part") == "all", 1).otherwise(0).alias("more"))
+def _numbered(df: DataFrame, *by: str) -> DataFrame:
+    """Rows that share these columns, told apart by a number; which has which doesn't matter, they are alike."""
+    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(F.lit(0))))
+
+
+def mixing_plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUDGET, most: float = MOST, seed: int = SEED) -> DataFrame:
+    """Per row of ``docs``: doc_id, source, size, source_size, target, times (how often it is taken), taken and shards (of each taking)."""
+    placed, plan, fitted = _planned(docs, weights, budget, most, seed)
+    return _taken(placed.join(plan, ["s", "block"]), fitted, ["doc_id", "source", "size", "source_size", "target"])
+
+
+def _taken(joined: DataFrame, fitted: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of the rows with times, taken and shards."""
+    by = ["s", "doc_id", "size"]
+    rest = joined.where("part <> 'some'").withColumn("more", F.when(F.col("part") == "all", 1).otherwise(0))
+    some = _numbered(joined.where("part = 'some'"), *by).withColumnRenamed("doc_id", "__id")
+    more = _numbered(fitted, *by).withColumnsRenamed({"doc_id": "__fid", "size": "__fsize", "s": "__fs", "__n": "__fn"})
+    same = (F.col("s") == F.col("__fs")) & F.col("__id").eqNullSafe(F.col("__fid")) & (F.col("size") == F.col("__fsize")) & (F.col("__n") == F.col("__fn"))
+    some = some.join(more, same).withColumnRenamed("__id", "doc_id")
     times = F.col("whole") + F.col("more")
-    return rest.unionByName(some).select("doc_id", "source", "size", "source_size", "target", times.cast("int").alias("times"), (times * F.col("size")).cast("long").alias("taken"), F.slice("draw_shards", 1, times).alias("shards"))
-
-
-def mix(docs: DataFrame, **how) -> DataFrame:
-    """The mixture: each row of ``docs`` as often as the plan takes it, with all its columns, shuffled within its output shards."""
-    columns, seed = docs.columns, how.get("seed", SEED)
-    plan = mixing_plan(docs, **how)
-    # rows that share an id: the n-th of the plan goes with the n-th of the documents of that size and source
-    ids = docs.groupBy(F.col("doc_id").alias("__id")).count().where("count > 1 or __id is null")
-    takes = plan.where("times > 0").select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("source").alias("__source"), F.col("shards").alias("__shards"))
-    if ids.isEmpty():
-        both = docs.join(takes.select("__id", "__shards"), F.col("doc_id") == F.col("__id"))
-    else:
-        here = Window.partitionBy("__id", "__size", "__source").orderBy(F.lit(0))
-        all_takes = plan.select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("source").alias("__source"), F.col("times").alias("__times"), F.col("shards").alias("__shards")).withColumn("__n", F.row_number().over(here))
-        numbered = docs.withColumns({"__id2": F.col("doc_id"), "__size2": count_words(F.col("text")), "__source2": F.col("source")})
-        there = Window.partitionBy("__id2", "__size2", "__source2").orderBy(F.col("text"))
-        numbered = numbered.withColumn("__n2", F.row_number().over(there))
-        same = F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__size") == F.col("__size2")) & F.col("__source").eqNullSafe(F.col("__source2")) & (F.col("__n") == F.col("__n2"))
-        both = numbered.join(all_takes.where("__times > 0"), same)
-    out = both.select(*(docs[c] for c in columns), F.posexplode("__shards").alias("__pass", "__shard"))
-    return out.repartition("__shard").sortWithinPartitions("__shard", F.xxhash64(F.lit(seed + 2), "__shard", "doc_id", "__pass")).select(*columns)
+    out = [*columns, times.cast("int").alias("times"), (times * F.col("size")).cast("long").alias("taken"), F.slice("draw_shards", 1, times).alias("shards")]
+    return rest.select(*out).unionByName(some.select(*out))
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUDGET, most: float = MOST, seed: int = SEED) -> DataFrame:
+    """The mixture: each row of ``docs`` as often as the plan takes it, with all its columns, shuffled within its output shards.
+
+    Texts meet only the small tables of sources and blocks and move once, to their shards.
+    """
+    columns = docs.columns
+    placed, plan, fitted = _planned(docs, weights, budget, most, seed)
+    sources = placed.select("s", F.col("source").alias("__source"), "n_blocks").distinct()
+    rows = docs.select(F.struct(*columns).alias("row"), F.col("doc_id"), F.col("source"), count_words(F.col("text")).alias("size"))
+    rows = rows.join(sources, F.col("source").eqNullSafe(F.col("__source"))).withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("n_blocks")))
+    taken = _taken(rows.join(plan, ["s", "block"]), fitted, ["row", "doc_id"]).where("times > 0")
+    out = taken.select("row", "doc_id", F.posexplode("shards").alias("pass", "shard"))
+    out = out.repartition("shard").sortWithinPartitions("shard", F.xxhash64(F.lit(seed + 2), "shard", "doc_id", "pass"))
+    return out.select("row.*")
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
