@@ -83,7 +83,9 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         F.size(is_stop).cast("long").alias("n_stop_words"),
         F.char_length(F.regexp_replace("__t", r"[^\p{Lu}]+", "")).cast("long").alias("n_capitals"),
     )
-    return df.withColumn("__q", counts).drop("__t", "__w", "__g", "__h", "__s", "__p", "__l")
+    # not deterministic for the optimizer, which would otherwise put this whole expression in place of
+    # each of its fields that a later filter names, level by level
+    return df.withColumn("__q", F.when(F.monotonically_increasing_id() >= 0, counts)).drop("__t", "__w", "__g", "__h", "__s", "__p", "__l")
 
 
 def ratios(q: Column) -> dict[str, Column]:
@@ -122,10 +124,7 @@ def quality_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
 def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that pass, with all their columns."""
     columns = docs.columns
-    df = measured(docs).select(*columns, verdict(F.col("__q"), rules)[1].alias("__kept"), F.monotonically_increasing_id().alias("__row"))
-    # a filter is never moved below a projection with a row number: else each of its terms would be
-    # replaced by the whole expression that measures it, level by level
-    return df.where(F.col("__kept") & (F.col("__row") >= 0)).select(*columns)
+    return measured(docs).where(verdict(F.col("__q"), rules)[1]).select(*columns)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
