@@ -1,7 +1,7 @@
 """Format-preserving pseudonyms for personal data, by built-in expressions only.
 
 Numbers and dates are validated, then permuted within their own format by a keyed Feistel network:
-phone numbers stay dialable, card numbers keep their length and a right check digit, addresses stay
+phone numbers that can be dialled stay so, card numbers keep their length and a right check digit, addresses stay
 four octets, social security numbers and dates stay valid. Being permutations, they keep different
 values different, and equal values equal across all documents. Names of mail boxes and secrets
 have no number to permute; they become keyed digests in their format, also linked across documents.
@@ -37,8 +37,9 @@ FIRST_DAY, DAYS, SIDE = "1900-01-01", 73_049, 271  # to 2099-12-31; 271 * 271 is
 
 
 #: A phone number's parts: country, opening, area, middle, exchange, sign, line.
-PHONE_PARTS = r"^(\+1[ .\-]?)?(\(?)([2-9][0-9]{2})(\)[ .\-]?|[ .\-])([2-9][0-9]{2})([ .\-])([0-9]{4})$"
-PHONE = r"(?<![0-9+])(?:\+1[ .\-]?\(?|\(|(?=[0-9]{3}[.\-]))[2-9][0-9]{2}(?:\)[ .\-]?|[ .\-])[2-9][0-9]{2}[ .\-][0-9]{4}(?![0-9\-])"
+PHONE_PARTS = r"^(\+1[ .\-]?)?(\(?)([0-9]{3})(\)[ .\-]?|[ .\-])([0-9]{3})([ .\-])([0-9]{4})$"
+#: Any codes after +1 or with the area in parentheses; without these only codes that can be dialled.
+PHONE = r"(?<![0-9+])(?:\+1[ .\-]?\(?[0-9]{3}(?:\)[ .\-]?|[ .\-])[0-9]{3}|\([0-9]{3}\)[ .\-]?[0-9]{3}|(?:\(|(?=[0-9]{3}[.\-]))[2-9][0-9]{2}(?:\)[ .\-]?|[ .\-])[2-9][0-9]{2})[ .\-][0-9]{4}(?![0-9\-])"
 CARD = r"(?<![0-9\-])(?:[0-9]{13,19}|[0-9]{4}[ \-][0-9]{4}[ \-][0-9]{4}[ \-][0-9]{4})(?![0-9\-])"
 ANY = "|".join((EMAIL, SECRET, ACCESS_KEY, IP, CARD, SSN, DATE, PHONE))
 
@@ -49,7 +50,7 @@ def _digest(key: str, *parts: Column | str) -> Column:
     return F.sha2(F.concat_ws("|", *cols), 256)
 
 
-def feistel(value: Column, a: Column, b: Column, key: str, tweak: str) -> Column:
+def feistel(value: Column, a: Column, b: Column, key: str, tweak: Column | str) -> Column:
     """A keyed permutation of 0..a*b-1 (a, b up to 10**9): halves take turns at adding a digest of the other.
 
     The rounds are a fold over their numbers, so that the expression doesn't double with each.
@@ -156,14 +157,25 @@ def _date(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
+    """Codes of 200 and more are permuted among themselves, so they stay dialable; all others are too, apart from these."""
     part = lambda k: F.regexp_extract(m, PHONE_PARTS, k)
-    value = ((part(3).cast("long") - 200) * 800 + part(5).cast("long") - 200) * 10000 + part(7).cast("long")
-
-    def shown(v: Column) -> Column:
-        front = F.floor(v / 10000).cast("long")
-        return F.concat(part(1), part(2), _digits(F.floor(front / 800) + 200, 3), part(4), _digits(front % 800 + 200, 3), part(6), _digits(v % 10000, 4))
-
-    return _let(feistel(value, _long(80000), _long(80000), key, "phone"), shown)
+    codes = F.struct(part(3).cast("long").alias("area"), part(5).cast("long").alias("exchange"), part(7).cast("long").alias("line"))
+
+    def new(p: Column) -> Column:
+        dialable = (p["area"] >= 200) & (p["exchange"] >= 200)
+        # 800 * 800 pairs of codes; of the others 200 * 1000 by their area and 800 * 200 by their exchange
+        front = F.when(dialable, (p["area"] - 200) * 800 + p["exchange"] - 200).when(p["area"] < 200, p["area"] * 1000 + p["exchange"]).otherwise((p["area"] - 200) * 200 + p["exchange"] + 200_000)
+        value = F.struct(dialable.alias("dialable"), F.when(dialable, 80000).otherwise(60000).cast("long").alias("side"), (front * 10000 + p["line"]).alias("v"))
+        return _let(value, lambda x: _let(F.struct(x["dialable"], feistel(x["v"], x["side"], x["side"], key, F.when(x["dialable"], "phone").otherwise("phone code")).alias("v")), shown))
+
+    def shown(x: Column) -> Column:
+        front = F.floor(x["v"] / 10000).cast("long")
+        by_exchange = front - 200_000
+        area = F.when(x["dialable"], F.floor(front / 800) + 200).when(by_exchange < 0, F.floor(front / 1000)).otherwise(F.floor(by_exchange / 200) + 200)
+        exchange = F.when(x["dialable"], front % 800 + 200).when(by_exchange < 0, front % 1000).otherwise(by_exchange % 200)
+        return F.concat(part(1), part(2), _digits(area, 3), part(4), _digits(exchange, 3), part(6), _digits(x["v"] % 10000, 4))
+
+    return _let(codes, new)
 
 
 _MAKE = {"email": (EMAIL, _email), "secret": (SECRET, _secret), "access_key": (ACCESS_KEY, _access_key), "ip": (IP, _ip), "card": (CARD, _card), "ssn": (SSN, _ssn), "date": (DATE, _date), "phone": (PHONE, _phone)}

@@ -216,6 +216,24 @@ def test_op3_permutations(spark):
     assert other != pii.pseudonymised(spark.createDataFrame([("1.2.3.4",)], "text string")).first().text
 
 
+def test_op3_phones_of_any_codes(spark):
+    shapes = ["+1 ({}) {}-{}", "+1-{}-{}-{}", "({}) {}-{}", "({}){}.{}"]
+    numbers = [("017", "555", "7713"), ("132", "555", "1352"), ("323", "055", "0000"), ("999", "199", "9999"), ("000", "000", "0000")]
+    rows = [(i, "call " + "; ".join(s.format(*n) for s in shapes) + ".") for i, n in enumerate(numbers)]
+    rows.append((9, "017-555-7713 323-155-9830 17 555-7713 +1 (17) 555-7713 (100 200-3000)"))
+    got = {r.doc_id: r for r in pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, n in enumerate(numbers):
+        new = re.fullmatch(r"call \+1 \((\d{3})\) (\d{3})-(\d{4}); .*", got[i].text).groups()
+        assert new != n and got[i].pii == ["phone"] * 4 and got[i].text == "call " + "; ".join(s.format(*new) for s in shapes) + "."
+        assert min(new[0], new[1]) < "200"
+    assert got[9].text == rows[-1][1] and got[9].pii == []
+    # one to one over codes of all kinds
+    codes = spark.range(0, 1_000_000, 97).select(F.lpad(F.col("id").cast("string"), 6, "0").alias("c")).select(F.concat(F.lit("("), F.substring("c", 1, 3), F.lit(") "), F.substring("c", 4, 3), F.lit("-5555")).alias("p"))
+    out = codes.select("p", pii._phone(F.col("p"), "k").alias("n")).collect()
+    dialable = re.compile(r"\([2-9]\d\d\) [2-9]\d\d-\d{4}")
+    assert len({r.n for r in out}) == len(out) and all(re.fullmatch(r"\(\d{3}\) \d{3}-\d{4}", r.n) and bool(dialable.fullmatch(r.p)) == bool(dialable.fullmatch(r.n)) for r in out)
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     from tokenizers import Tokenizer
