@@ -29,7 +29,15 @@ IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 SSN = r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
 DATE = r"(?<![0-9\-])(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![0-9\-])"
 ACCESS_KEY = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
-SECRET = r"(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api[_\-]?key|access[_\-]?key)[ \t]{0,4}[=:][ \t]{0,4}[\"']?(?=[A-Za-z+/_\-]{0,200}[0-9])[A-Za-z0-9+/_\-]{8,200}"
+_NAME = r"(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api[_\-]?key|access[_\-]?key)[ \t]{0,4}[=:]"
+#: A secret's sign, with the dots before it: dots that end a sentence are none of it.
+_SIGN = r"(?:\.*+[A-Za-z0-9+/_\-=~])"
+#: The whole run of signs, and the host of a mail address that it runs into. It has a digit, before any further name:
+#: so chains of names are read once. A value that is a mail or network address is left to these.
+SECRET = (
+    rf"{_NAME}[ \t]{{0,4}}[\"']?(?![=~]*+(?:{EMAIL}|{IP}(?!{_SIGN})))(?=(?:(?!{_NAME})[A-Za-z+/_\-=~.])*+[0-9])"
+    rf"{_SIGN}{{8,}}+(?:@(?:[A-Za-z0-9\-]{{1,63}}\.){{1,8}}[A-Za-z]{{2,24}}(?![A-Za-z0-9\-]))?+"
+)
 _NAMED = r"^(.*?[=:][ \t]{0,4}[\"']?)(.*)$"
 
 KINDS = ("email", "secret", "access_key", "ip", "card", "ssn", "date", "phone")

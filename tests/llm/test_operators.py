@@ -234,6 +234,22 @@ def test_op3_phones_of_any_codes(spark):
     assert len({r.n for r in out}) == len(out) and all(re.fullmatch(r"\(\d{3}\) \d{3}-\d{4}", r.n) and bool(dialable.fullmatch(r.p)) == bool(dialable.fullmatch(r.n)) for r in out)
 
 
+def test_op3_whole_secrets(spark):
+    r = random.Random(3)
+    long = lambda n: "".join(r.choices("abcdefgh0123456789+/_-", k=n))
+    jwt = f"eyJhbGciOiJIUzI1NiJ9.{long(90)}.{long(43)}"
+    values = [long(300), long(201), jwt, "Abcdefgh12345==", "a" * 250 + "7", "abcd.efgh~ijk=9", "1234567.89012345", long(100_000)]
+    rows = [(i, f'token="{v}" and secret: {v}. End') for i, v in enumerate(values)]
+    rows += [(20, "password: john.smith9@x.com, token==anna.smith9@x.com, pwd=192.168.100.200."), (21, "token: nothing.at.all, secret: see.page 7, password == 1"), (22, "token=a=john.smith9@x.com"), (23, "token=" * 40_000 + "abcdefg1")]
+    got = {x.doc_id: x for x in pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, v in enumerate(values):
+        one, two = re.fullmatch(r'token="([0-9a-f]+)" and secret: ([0-9a-f]+)\. End', got[i].text).groups()
+        assert one == two != v and len(one) == len(v) and got[i].pii == ["secret"] * 2
+    assert got[20].pii == ["email", "email", "ip"] and "smith" not in got[20].text and "x.com" not in got[20].text and "192.168.100.200" not in got[20].text
+    assert got[21].text == rows[-3][1] and got[21].pii == []
+    assert re.fullmatch("token=[0-9a-f]{19}", got[22].text) and re.fullmatch("(token=){40000}[0-9a-f]{8}", got[23].text)
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     from tokenizers import Tokenizer
