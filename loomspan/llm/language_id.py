@@ -4,11 +4,14 @@ Per language a suffix automaton is built over a bounded sample of labelled text.
 greedily against each automaton: a phrase is the longest match, extended until no continuation
 exists, and the text needs as many phrases as it has breaks. Few phrases mean that the language's
 sample predicts the text well. Counts are normalised to bits per letter, phrases times log2 of the
-sample's length over the text's length; the language with the fewest wins.
+sample's length over the text's length; the language with the fewest wins. Samples count as
+``LEAST_SIZE`` letters at least: a phrase of a sample of a few letters would be cheap in any text.
 
 Texts are lower-cased and reduced to letters and single spaces. All texts of a batch are parsed in
 step, in segments of ``SEGMENT`` letters (a phrase ends with its segment), so the automaton runs as
-array look-ups over thousands of positions at once. Whole texts are parsed.
+array look-ups over thousands of positions at once. Whole texts are parsed. Every letter of a
+language's sample counts: the ``dense`` commonest are columns of its table, the others are looked
+up in a sorted list of transitions.
 
 Training reads ``text`` and non-null ``lang`` of the documents outside the held-out fold: at most
 ``SAMPLE_DOCS`` of each language, the first by a hash of their id, and of these ``SAMPLE_LETTERS``
@@ -39,6 +42,8 @@ from loomspan.llm.words import crc_mod, table
 FOLDS, HELD_OUT = 4, 2
 SAMPLE_DOCS, SAMPLE_LETTERS, MOST_LANGUAGES = 256, 60_000, 200
 SEGMENT, STEP_TEXTS = 1024, 8192
+#: Commonest signs of a language that are columns of its table, bytes of all tables, and least letters that a sample counts as.
+DENSE, TABLE_BYTES, LEAST_SIZE = 63, 512 << 20, 1024
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -48,18 +53,23 @@ def letters(text: str) -> str:
 
 
 class Automaton:
-    """Suffix automaton as a flat table: ``2 * (state * signs) + broke`` by ``state * signs + sign``.
+    """Suffix automaton as a flat table: ``2 * (state * columns) + broke`` by ``state * columns + sign``.
 
-    The last sign stands for all that the sample lacks. A missing continuation ends the phrase and
-    begins the next one with the sign itself.
+    Signs are numbered by frequency. The first ``dense`` have a column each, the last column stands
+    for all that the sample lacks. Further signs are numbered after it; their transitions are two
+    arrays, sorted by ``state * rare + sign``. A missing continuation ends the phrase and begins the
+    next one with the sign itself.
     """
 
-    def __init__(self, sample: str, alphabet: dict[str, int]):
-        signs = len(alphabet) + 1
+    def __init__(self, sample: str, dense: int = DENSE):
+        total = Counter(sample)
+        order = sorted(total, key=lambda ch: (-total[ch], ch))
+        self.columns = columns = min(dense, len(order)) + 1
+        self.signs = {ch: i if i < dense else i + 1 for i, ch in enumerate(order)}
         links, lengths, moves = [-1], [0], [{}]
         last = 0
         for ch in sample:
-            c, now = alphabet[ch], len(moves)
+            c, now = self.signs[ch], len(moves)
             links.append(0)
             lengths.append(lengths[last] + 1)
             moves.append({})
@@ -81,46 +91,57 @@ class Automaton:
                         p = links[p]
                     links[q] = links[now] = twin
             last = now
-        root = np.zeros(signs, np.int64)
+        self.rare = rare = len(order) + 1 - columns
+        root = np.zeros(columns + rare, np.int64)
         for c, to in moves[0].items():
             root[c] = to
-        next_ = np.repeat((2 * root * signs + 1)[None, :], len(moves), axis=0)
+        next_ = np.repeat((2 * root[:columns] * columns + 1).astype(np.int32)[None, :], len(moves), axis=0)
         rows = np.repeat(np.arange(len(moves)), [len(m) for m in moves])
-        columns = np.fromiter((c for m in moves for c in m), np.int64, len(rows))
+        signs = np.fromiter((c for m in moves for c in m), np.int64, len(rows))
         to = np.fromiter((t for m in moves for t in m.values()), np.int64, len(rows))
-        next_[rows, columns] = 2 * to * signs
-        self.table = next_.astype(np.int32).ravel()
-        self.size, self.signs = max(2, len(sample)), signs
+        few = signs >= columns
+        next_[rows[~few], signs[~few]] = 2 * to[~few] * columns
+        self.table = next_.ravel()
+        keys = rows[few] * rare + signs[few] - columns
+        by = np.argsort(keys)
+        # one more key than any state has, so that each search ends at one
+        self.keys, self.to = np.append(keys[by], len(moves) * max(rare, 1)), np.append(2 * to[few][by] * columns, 0).astype(np.int32)
+        self.begin = (2 * root[columns:] * columns + 1).astype(np.int32)
+        self.size = max(2, len(sample))
 
     def breaks(self, codes: np.ndarray, active: np.ndarray) -> np.ndarray:
         """Phrase ends of each segment; ``codes`` is one row a position, ``active`` how many segments (longest first) reach it."""
         n = codes.shape[1]
         state, found = np.zeros(n, np.int32), np.zeros(n, np.int32)
         for row, m in zip(codes, active.tolist(), strict=True):
-            step = self.table.take((state[:m] >> 1) + row[:m])
+            at, row = state[:m] >> 1, row[:m]
+            if self.rare and len(few := np.flatnonzero(row >= self.columns)):
+                sign = row[few] - self.columns
+                key = at[few].astype(np.int64) // self.columns * self.rare + sign
+                place = np.searchsorted(self.keys, key)
+                step = self.table.take(at + np.minimum(row, self.columns - 1))
+                step[few] = np.where(self.keys[place] == key, self.to[place], self.begin[sign])
+            else:
+                step = self.table.take(at + row)
             found[:m] += step & 1
             state[:m] = step
         return found + 1
 
 
 class Model:
-    """Automata of all languages over one alphabet."""
-
-    def __init__(self, samples: dict[str, str], most_signs: int = 63):
-        common = Counter(ch for s in samples.values() for ch in set(s))
-        total = Counter()
-        for s in samples.values():
-            total.update(s)
-        kept = sorted(common, key=lambda ch: (-total[ch], ch))[:most_signs]
-        self.alphabet = {ch: i for i, ch in enumerate(kept)}
-        self.languages = sorted(samples)
-        other = len(kept)
-        clean = {k: "".join(ch for ch in s if ch in self.alphabet) for k, s in samples.items()}
-        self.automata = [Automaton(clean[k], self.alphabet) for k in self.languages]
-        top = max((ord(ch) for ch in kept), default=0) + 2
-        self.codes = np.full(top, other, np.int32)
-        for ch, i in self.alphabet.items():
-            self.codes[ord(ch)] = i
+    """Automata of all languages, each over all signs of its own sample."""
+
+    def __init__(self, samples: dict[str, str], dense: int = DENSE, least_size: int = 2):
+        self.languages, self.least_size = sorted(samples), least_size
+        # an automaton has at most two states a letter
+        dense = min(dense, TABLE_BYTES // (8 * max(1, sum(map(len, samples.values())))))
+        self.automata = [Automaton(samples[k], dense) for k in self.languages]
+        signs = sorted(set().union(*(a.signs for a in self.automata)))
+        other = len(signs)
+        self.codes = np.full(max(map(ord, signs), default=0) + 2, other, np.int32)
+        self.codes[[ord(ch) for ch in signs]] = np.arange(other)
+        # each automaton's numbers of all signs; the last of its columns for those that its sample lacks
+        self.own = [np.array([*(a.signs.get(ch, a.columns - 1) for ch in signs), a.columns - 1], np.int32) for a in self.automata]
 
     def bits(self, texts: list[str]) -> np.ndarray:
         """Bits per letter, a row a text and a column a language; infinite for empty texts."""
@@ -141,7 +162,7 @@ class Model:
             grid = codes[np.minimum(begin + np.arange(longest)[:, None], len(codes) - 1)]
             active = np.searchsorted(-size, -np.arange(longest), "left")
             for k, a in enumerate(self.automata):
-                np.add.at(out[:, k], who, a.breaks(grid, active) * np.log2(a.size))
+                np.add.at(out[:, k], who, a.breaks(self.own[k].take(grid), active) * np.log2(max(a.size, self.least_size)))
         with np.errstate(divide="ignore", invalid="ignore"):
             return np.where(lengths[:, None] > 0, out / np.maximum(lengths, 1)[:, None], np.inf)
 
@@ -154,7 +175,7 @@ def _model(samples: dict[str, str]) -> Model:
     name = hashlib.blake2b(repr(sorted(samples.items())).encode("utf-8", "surrogatepass")).hexdigest()
     if name not in _MODELS:
         _MODELS.clear()
-        _MODELS[name] = Model(samples)
+        _MODELS[name] = Model(samples, least_size=LEAST_SIZE)
     return _MODELS[name]
 
 

@@ -412,6 +412,30 @@ def test_op7_phrases_are_longest_matches(seed):
     assert [round(x) for x in got] == [phrases(t) for t in texts]
 
 
+def test_op7_rare_scripts(spark):
+    """Latin and Russian samples of full size don't take the letters of short ones of other scripts; tiny samples win nothing."""
+
+    def speak(signs, n, seed):
+        r = random.Random(seed)
+        vocabulary = ["".join(r.choices(signs, k=r.randint(2, 7))) for _ in range(300)]
+        r = random.Random(n)
+        return " ".join(r.choices(vocabulary, k=n // 5))[:n]
+
+    latin, cyrillic, greek, hebrew, han = "abcdefghijklmnopqrstuvwxyzäöüßéèàçñ", "".join(map(chr, range(0x430, 0x450))), "".join(map(chr, range(0x3B1, 0x3CA))), "".join(map(chr, range(0x5D0, 0x5EB))), "".join(map(chr, range(0x4E00, 0x5200)))
+    of = {"de": (latin, 1), "fr": (latin, 2), "ru": (cyrillic, 3), "el": (greek, 4), "he": (hebrew, 5), "zh": (han, 6), "yi": (hebrew, 7)}
+    samples = {k: speak(*of[k][:1], 60_000 if k in ("de", "fr", "ru") else 2_000, of[k][1]) for k in of}
+    docs = [(k, speak(of[k][0], n, of[k][1])) for k in of for n in (150, 1501)]
+    # two letters, and one word
+    got = language_id.identify(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(docs)], "doc_id long, text string"), {**samples, "aa": "ab", "bb": "xylophon"}).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {i: k for i, (k, _) in enumerate(docs)}
+    model = language_id.Model(samples)
+    assert all(set(a.signs) == set(samples[k]) for k, a in zip(model.languages, model.automata, strict=True))
+    # columns or lists, the same parse
+    texts = [t for _, t in docs] + ["日本語 ab", "\U0001f600"]
+    for dense in (0, 1, 20):
+        assert (language_id.Model(samples, dense).bits(texts) == model.bits(texts)).all()
+
+
 def quality_by_hand(t):
     w = WORD.findall(t or "")
     windows = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
