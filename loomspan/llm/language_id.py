@@ -15,7 +15,8 @@ up in a sorted list of transitions.
 
 Training reads ``text`` and non-null ``lang`` of the documents outside the held-out fold: at most
 ``SAMPLE_DOCS`` of each language, the first by a hash of their id, and of these ``SAMPLE_LETTERS``
-letters a language (both parameters). Languages are at most ``MOST_LANGUAGES``, the commonest.
+letters a language (both parameters). Every language is learned: samples, and the time to parse a
+text, grow with their number.
 
 Defined results: ``und`` with score 0 for a text that is null or has no letter, or when nothing
 could be learned. Ties go to the language that sorts first. The score is how far the winner's bits
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 from loomspan.llm.words import crc_mod, table
 
 FOLDS, HELD_OUT = 4, 2
-SAMPLE_DOCS, SAMPLE_LETTERS, MOST_LANGUAGES = 256, 60_000, 200
+SAMPLE_DOCS, SAMPLE_LETTERS = 256, 60_000
 SEGMENT, STEP_TEXTS = 1024, 8192
 #: Commonest signs of a language that are columns of its table, bytes of all tables, and least letters that a sample counts as.
 DENSE, TABLE_BYTES, LEAST_SIZE = 63, 512 << 20, 1024
@@ -179,14 +180,13 @@ def _model(samples: dict[str, str]) -> Model:
     return _MODELS[name]
 
 
-def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_letters: int = SAMPLE_LETTERS, most_languages: int = MOST_LANGUAGES) -> dict[str, str]:
+def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_letters: int = SAMPLE_LETTERS) -> dict[str, str]:
     """A bounded sample of letters per language, from labelled documents outside the held-out fold."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT, F.lit(False)))
-    commonest = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).select("lang")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     # ids first: a rank over few columns, cut down before it is shuffled
-    ids = labelled.select("lang", "doc_id").join(commonest, "lang").withColumn("rank", rank).where(F.col("rank") <= sample_docs).select("lang", "doc_id", "rank")
-    # at most sample_docs * most_languages ids
+    ids = labelled.select("lang", "doc_id").withColumn("rank", rank).where(F.col("rank") <= sample_docs).select("lang", "doc_id", "rank")
+    # at most sample_docs ids a language
     picked = labelled.join(F.broadcast(ids), ["lang", "doc_id"]).select("lang", "rank", F.substring("text", 1, 4 * sample_letters).alias("text")).distinct()
     samples: dict[str, list[str]] = {}
     sizes: Counter = Counter()

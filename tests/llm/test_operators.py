@@ -436,6 +436,14 @@ def test_op7_rare_scripts(spark):
         assert (language_id.Model(samples, dense).bits(texts) == model.bits(texts)).all()
 
 
+def test_op7_every_label_is_learned(spark):
+    rows = [(i, "ab cd " + chr(0x4E00 + i % 203) * 5, f"l{i % 203}") for i in range(2030)]
+    samples = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_docs=2)
+    assert set(samples) == {f"l{i}" for i in range(203)} and all(len(s) == 23 for s in samples.values())
+    got = language_id.identify(spark.createDataFrame([(i, chr(0x4E00 + i) * 5) for i in range(203)], "doc_id long, text string"), samples).collect()
+    assert all(r.lang_pred == f"l{r.doc_id}" for r in got)
+
+
 def quality_by_hand(t):
     w = WORD.findall(t or "")
     windows = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
