@@ -8,7 +8,7 @@ have no number to permute; they become keyed digests in their format, also linke
 What fails validation is left as it is.
 
 One pattern finds all kinds; a text is split at the matches and joined with their replacements.
-Only texts with a digit or an at sign are searched.
+Only texts with a digit, an at sign or the begin of an access key are searched.
 
 Defined results: a null text stays null and an empty one empty, with counts 0. Repeated rows give
 the same result. Texts of any length are worked on whole. A null ``doc_id`` stays null. All other
@@ -205,7 +205,7 @@ def pseudonymised(docs: DataFrame, key: str = KEY, text: str = "text", kinds_as:
     """``docs`` with personal data in ``text`` replaced and, if named, a column of the kinds found, in order."""
     t = F.col(text)
     # a licence's year or version passes this too; the search proper decides
-    maybe = t.rlike("[0-9@]")
+    maybe = t.rlike("[0-9@]|AKIA")
     df = docs.withColumn("__pii__m", F.when(maybe, F.regexp_extract_all(t, F.lit(ANY), F.lit(0))))
     df = df.withColumn("__pii__m", F.when(F.size("__pii__m") > 0, F.col("__pii__m")))
     df = df.withColumn("__pii__r", F.transform("__pii__m", lambda m: _replaced(m, key)))
