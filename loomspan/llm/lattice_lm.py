@@ -1,8 +1,9 @@
 """Language-model scores: marginal document probability over all segmentations into subwords.
 
-The pieces are those of an existing unigram vocabulary (``piece_bpe_32k.model``), which isn't
-changed. Its scores are the first weights of the pieces; one expectation step over the distinct
-words of all training documents gives their probabilities. A word's spelling probability sums over
+The pieces are those of an existing BPE vocabulary (``piece_bpe_32k.model``), which isn't changed;
+no unigram vocabulary is available. Its scores are merge ranks, no probabilities: the first weights
+of the pieces are Zipf-like in these, and one expectation step over the distinct words of all
+training documents gives their probabilities. A word's spelling probability sums over
 all ways to spell it with pieces, the first of which begins with the word mark; bytes spell what
 no piece covers, so no text is impossible. A word seen in training is one more arc, from its begin
 to its end, with its count less a discount; the discounts of all words are what spelling shares
