@@ -1,18 +1,28 @@
 """Format-preserving pseudonyms for personal data, by built-in expressions only.
 
 Numbers and dates are validated, then permuted within their own format by a keyed Feistel network:
-phone numbers that can be dialled stay so, card numbers keep their length and a right check digit, addresses stay
-four octets, social security numbers and dates stay valid. Being permutations, they keep different
-values different, and equal values equal across all documents. Names of mail boxes and secrets
-have no number to permute; they become keyed digests in their format, also linked across documents.
-What fails validation is left as it is.
+phone numbers that can be dialled stay so, card numbers keep their length, grouping and a right
+check digit, addresses stay addresses of their version, social security numbers and dates stay
+valid. Being permutations, they keep different values different, and equal values equal across all
+documents. Names of mail boxes and secrets have no number to permute; they become keyed digests in
+their format, also linked across documents. What fails validation is left as it is.
+
+Dates are ``Y-M-D`` with ``-``, ``/`` or ``.``, ``D.M.Y``, and ``M/D/Y`` with ``/`` or ``-``, or
+``D/M/Y`` where only this is a date; each is a format of its own. A password's value runs to its
+closing quote or, without quotes, to a space, quote, comma or semicolon; it has four signs, one of
+them no letter, or eight. Other secrets have eight signs with a digit, or sixteen.
 
 One pattern finds all kinds; a text is split at the matches and joined with their replacements.
-Only texts with a digit, an at sign or the begin of an access key are searched.
+Only texts with a digit, an at sign or a part of a secret's name are searched. No run has a longest
+length: every repetition is possessive, so a pattern takes time in proportion to the text.
+
+The key is ``spark.loomspan.pii.key``; who knows it can undo the permutations. The queries over test
+tables use ``TEST_KEY`` where none is set, any other call must give one.
 
 Defined results: a null text stays null and an empty one empty, with counts 0. Repeated rows give
 the same result. Texts of any length are worked on whole. A null ``doc_id`` stays null. All other
-columns pass through ``pseudonymised``, whatever their names. An empty table gives no rows.
+columns pass through ``pseudonymised``, whatever their names; where the name for the kinds is taken,
+underscores are added to it until it is free. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,23 +32,38 @@ from pyspark.sql import functions as F
 
 from loomspan.llm.words import table
 
-KEY, ROUNDS = "loomspan", 8
+TEST_KEY, SETTING, ROUNDS = "loomspan", "spark.loomspan.pii.key", 8
 
-EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9\-])"
+_BOX, _LABEL = r"\p{L}\p{N}._%+\-", r"[\p{L}\p{N}_]++(?:-++[\p{L}\p{N}_]++)*+"
+#: The host has a label of two letters after a dot.
+EMAIL = rf"(?<![{_BOX}])[{_BOX}]++@(?=[\p{{L}}\p{{N}}_\-.]*?\.\p{{L}}{{2}}){_LABEL}(?:\.{_LABEL})++"
 IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
+_HEX = r"[0-9A-Fa-f]{1,4}"
+#: Eight groups, or fewer with one gap; one of three signs or more, one digit: neither a time of day nor a slice.
+IP6 = rf"(?<![0-9A-Za-z:.])(?=[A-Fa-f:]*+[0-9])(?=[0-9A-Fa-f:]*?[0-9A-Fa-f]{{3}})(?:{_HEX}(?::{_HEX}){{7}}|(?:{_HEX}(?::{_HEX}){{0,6}})?::(?:{_HEX}(?::{_HEX}){{0,6}})?)(?![0-9A-Za-z:]|\.[0-9])"
 SSN = r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
-DATE = r"(?<![0-9\-])(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![0-9\-])"
+_YEAR, _PART = r"(?:19|20)[0-9]{2}", r"[0-9]{1,2}"
+_ISO = rf"(?<![0-9\-]){_YEAR}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![0-9\-])"
+DATE = (
+    rf"(?:{_ISO}|(?<![0-9\-/])(?<![0-9]\.)(?:{_YEAR}/{_PART}/{_PART}|{_YEAR}\.{_PART}\.{_PART}"
+    rf"|{_PART}/{_PART}/{_YEAR}|{_PART}\.{_PART}\.{_YEAR}|{_PART}-{_PART}-{_YEAR})(?![0-9\-/]|\.[0-9]))"
+)
 ACCESS_KEY = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
-_NAME = r"(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api[_\-]?key|access[_\-]?key)[ \t]{0,4}[=:]"
-#: A secret's sign, with the dots before it: dots that end a sentence are none of it.
-_SIGN = r"(?:\.*+[A-Za-z0-9+/_\-=~])"
-#: The whole run of signs, and the host of a mail address that it runs into. It has a digit, before any further name:
-#: so chains of names are read once. A value that is a mail or network address is left to these.
+_IS = r"[\"']?[ \t]*+(?::=|=>|==|[=:])"
+_PASSWORD = rf"(?<![A-Za-z])(?i:password|passwd|pwd|passphrase){_IS}"
+_NAME = rf"(?<![A-Za-z])(?i:password|passwd|pwd|passphrase|secret|token|api[_\-]?key|access[_\-]?key){_IS}"
+#: A password's sign and a secret's, with the dots and the like before it: those that end a sentence are none of it.
+_CORE, _SIGN = r"(?:[.:)\]}]*+[^\s\"',;.:)\]}])", r"(?:\.*+[A-Za-z0-9+/_\-=~])"
+#: A value that is a mail or network address is left to these.
+_ADDRESS = rf"[=~]*+(?:{EMAIL}|{IP}(?!{_SIGN}))"
+#: The whole run of signs, and the host of a mail address that it runs into. What makes it a secret
+#: is looked for before any further name: so chains of names are read once.
 SECRET = (
-    rf"{_NAME}[ \t]{{0,4}}[\"']?(?![=~]*+(?:{EMAIL}|{IP}(?!{_SIGN})))(?=(?:(?!{_NAME})[A-Za-z+/_\-=~.])*+[0-9])"
-    rf"{_SIGN}{{8,}}+(?:@(?:[A-Za-z0-9\-]{{1,63}}\.){{1,8}}[A-Za-z]{{2,24}}(?![A-Za-z0-9\-]))?+"
+    rf"{_PASSWORD}[ \t]*+(?:\"[^\"\n]++(?=\")|'[^'\n]++(?=')|[\"']?(?!{_ADDRESS})(?:{_CORE}{{8,}}+|(?=[A-Za-z]*+[^A-Za-z\s\"',;.]){_CORE}{{4,}}+))"
+    rf"|{_NAME}[ \t]*+[\"']?(?!{_ADDRESS})(?=(?:(?!{_NAME})[A-Za-z+/_\-=~.])*+[0-9]|(?:(?!{_NAME}){_SIGN}){{16}})"
+    rf"{_SIGN}{{8,}}+(?:@{_LABEL}(?:\.{_LABEL})++)?+"
 )
-_NAMED = r"^(.*?[=:][ \t]{0,4}[\"']?)(.*)$"
+_NAMED = r"^(.*?(?::=|=>|==|[=:])[ \t]*+[\"']?)(.*)$"
 
 KINDS = ("email", "secret", "access_key", "ip", "card", "ssn", "date", "phone")
 FIRST_DAY, DAYS, SIDE = "1900-01-01", 73_049, 271  # to 2099-12-31; 271 * 271 is the least square above
@@ -48,8 +73,18 @@ FIRST_DAY, DAYS, SIDE = "1900-01-01", 73_049, 271  # to 2099-12-31; 271 * 271 is
 PHONE_PARTS = r"^(\+1[ .\-]?)?(\(?)([0-9]{3})(\)[ .\-]?|[ .\-])([0-9]{3})([ .\-])([0-9]{4})$"
 #: Any codes after +1 or with the area in parentheses; without these only codes that can be dialled.
 PHONE = r"(?<![0-9+])(?:\+1[ .\-]?\(?[0-9]{3}(?:\)[ .\-]?|[ .\-])[0-9]{3}|\([0-9]{3}\)[ .\-]?[0-9]{3}|(?:\(|(?=[0-9]{3}[.\-]))[2-9][0-9]{2}(?:\)[ .\-]?|[ .\-])[2-9][0-9]{2})[ .\-][0-9]{4}(?![0-9\-])"
-CARD = r"(?<![0-9\-])(?:[0-9]{13,19}|[0-9]{4}[ \-][0-9]{4}[ \-][0-9]{4}[ \-][0-9]{4})(?![0-9\-])"
-ANY = "|".join((EMAIL, SECRET, ACCESS_KEY, IP, CARD, SSN, DATE, PHONE))
+#: Numbers of other countries, 8 to 15 digits, and those of +1 without signs between their parts.
+PHONE_ABROAD = r"(?<![0-9+])\+(?:1[0-9]{10}|[2-9](?:[ .\-()]{0,3}[0-9]){7,14})(?![0-9])"
+CARD = r"(?<![0-9\-])(?:[0-9]{13,19}|[0-9]{4}[ \-][0-9]{4}[ \-][0-9]{4}[ \-][0-9]{4}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{4,5})(?![0-9\-])"
+ANY = "|".join((EMAIL, SECRET, ACCESS_KEY, IP, IP6, CARD, SSN, DATE, PHONE, PHONE_ABROAD))
+
+
+def key_of(spark: SparkSession, otherwise: str | None = None) -> str:
+    """The session's key; ValueError where there is none, nor another given."""
+    key = spark.conf.get(SETTING, None) or otherwise
+    if not key:
+        raise ValueError(f"set {SETTING}: pseudonyms of a known key can be undone")
+    return key
 
 
 def _digest(key: str, *parts: Column | str) -> Column:
@@ -122,21 +157,58 @@ def _ip(m: Column, key: str) -> Column:
     return F.when(F.greatest(*octets) <= 255, out)
 
 
-def _card(m: Column, key: str) -> Column:
-    plain = F.regexp_replace(m, r"[ \-]", "")
+def _refilled(m: Column, digits: Column) -> Column:
+    """``m`` with its digits replaced in turn; all other signs stay."""
+    none = F.struct(F.lit("").alias("out"), F.lit(0).alias("n"))
+    is_digit = lambda c: (c >= "0") & (c <= "9")
+    step = lambda a, c: F.struct(F.concat(a["out"], F.when(is_digit(c), F.substr(digits, a["n"] + 1, F.lit(1))).otherwise(c)).alias("out"), (a["n"] + is_digit(c).cast("int")).alias("n"))
+    return F.aggregate(F.split(m, ""), none, step, lambda a: a["out"])
 
+
+def _permuted_digits(digits: Column, n: Column, key: str, tweak: str) -> Column:
+    """Another number of ``n`` digits (2 to 18), leading zeros included."""
+    ten = lambda k: F.concat(F.lit("1"), F.repeat(F.lit("0"), k.cast("int"))).cast("long")
+    return _digits(feistel(digits.cast("long"), ten(F.ceil(n / 2)), ten(F.floor(n / 2)), key, tweak), n)
+
+
+def _card(m: Column, key: str) -> Column:
     def new(d: Column) -> Column:
         n = F.char_length(d) - 1
-        left, right = F.ceil(n / 2).cast("int"), F.floor(n / 2).cast("int")
-        ten = lambda k: F.concat(F.lit("1"), F.repeat(F.lit("0"), k)).cast("long")
-        body = _digits(feistel(F.left(d, n).cast("long"), ten(left), ten(right), key, "card"), n)
+        body = _permuted_digits(F.left(d, n), n, key, "card")
         check = lambda x: F.concat(x, F.pmod(F.lit(10) - _check_sum(F.concat(x, F.lit("0"))) % 10, F.lit(10)).cast("string"))
-        sign = F.substring(m, 5, 1)
-        full = _let(body, check)
-        shown = F.when(F.char_length(d) == F.char_length(m), full).otherwise(_let(full, lambda x: F.concat(F.substring(x, 1, 4), sign, F.substring(x, 5, 4), sign, F.substring(x, 9, 4), sign, F.substring(x, 13, 4))))
-        return F.when((_check_sum(d) % 10 == 0) & (d.cast("decimal(20,0)") > 0), shown)
+        return F.when((_check_sum(d) % 10 == 0) & (d.cast("decimal(20,0)") > 0), _let(_let(body, check), lambda x: _refilled(m, x)))
+
+    return _let(F.regexp_replace(m, r"[ \-]", ""), new)
 
-    return _let(plain, new)
+
+def _phone_abroad(m: Column, key: str) -> Column:
+    """The country stays, two digits or the one of +1 and +7; the number after it is permuted."""
+
+    def new(d: Column) -> Column:
+        kept = F.when(F.left(d, F.lit(1)).isin("1", "7"), 1).otherwise(2)
+        n = F.char_length(d) - kept
+        return _let(F.concat(F.left(d, kept), _permuted_digits(F.right(d, n), n, key, "abroad")), lambda x: _refilled(m, x))
+
+    return _let(F.regexp_replace(m, r"[^0-9]", ""), new)
+
+
+def _ip6(m: Column, key: str) -> Column:
+    """128 bits permuted, written as eight whole groups."""
+    groups = lambda x: F.filter(F.split(x, ":"), lambda g: g != "")
+    sides = F.split(m, "::")
+    left, right = groups(sides[0]), F.coalesce(groups(F.get(sides, F.lit(1))), F.array().cast("array<string>"))
+    n = F.size(left) + F.size(right)
+    whole = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - n)), right)
+    digits = F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), "")
+    half = lambda at: F.conv(F.substring(digits, at, 16), 16, -10).cast("long")
+    of = lambda i, x: F.conv(F.substring(_digest(key, "ip6", i, x), 1, 16), 16, -10).cast("long")
+
+    def step(s: Column, i: Column) -> Column:
+        return F.struct(F.when(i % 2 == 0, s["l"].bitwiseXOR(of(i, s["r"]))).otherwise(s["l"]).alias("l"), F.when(i % 2 == 1, s["r"].bitwiseXOR(of(i, s["l"]))).otherwise(s["r"]).alias("r"))
+
+    shown = lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))
+    out = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(half(1).alias("l"), half(17).alias("r")), step, lambda s: F.concat(shown(s["l"]), shown(s["r"])))
+    return F.when((n == 8) & (F.size(sides) == 1) | (n < 8) & (F.size(sides) == 2), _let(out, lambda x: F.concat_ws(":", *(F.substring(x, 4 * k + 1, 4) for k in range(8)))))
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -157,11 +229,21 @@ def _date(m: Column, key: str) -> Column:
     """Days permuted within 1900-2099: the square above is walked until a day comes out."""
     first = F.lit(FIRST_DAY).cast("date")
     once = lambda v: feistel(v, _long(SIDE), _long(SIDE), key, "date")
-    # 392 of 73,441 numbers are no day; eight walks leave one in 10**18, which stays as it is
-    walk = lambda v: F.aggregate(F.sequence(F.lit(1), F.lit(8)), once(v), lambda x, i: F.when(x < DAYS, x).otherwise(once(x)))
-    day = F.try_to_timestamp(m, F.lit("yyyy-MM-dd")).cast("date")
-    found = _let(walk(F.date_diff(day, first).cast("long")), lambda v: F.when(v < DAYS, F.date_format(F.date_add(first, v.cast("int")), "yyyy-MM-dd")))
-    return F.when(day.isNotNull(), found)
+    # the square has 392 numbers that are no day, so no walk is longer
+    walk = lambda v: F.aggregate(F.sequence(F.lit(1), F.lit(SIDE * SIDE - DAYS)), once(v), lambda x, i: F.when(x < DAYS, x).otherwise(once(x)))
+    part = F.split(m, r"[-/.]")
+    sign = F.regexp_extract(m, r"[-/.]", 0)
+    order = F.when(F.char_length(part[0]) == 4, "ymd").when((sign == ".") | (part[0].cast("int") > 12), "dmy").otherwise("mdy")
+
+    def new(o: Column) -> Column:
+        at = lambda *k: F.concat_ws("-", *(F.lpad(part[i], 4 if i == k[0] else 2, "0") for i in k))
+        text = F.when(o == "ymd", at(0, 1, 2)).when(o == "dmy", at(2, 1, 0)).otherwise(at(2, 0, 1))
+        day = F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date")
+        shown = lambda d: F.when(o == "ymd", F.date_format(d, "yyyy-MM-dd")).when(o == "dmy", F.date_format(d, "dd-MM-yyyy")).otherwise(F.date_format(d, "MM-dd-yyyy"))
+        found = _let(walk(F.date_diff(day, first).cast("long")), lambda v: F.replace(shown(F.date_add(first, v.cast("int"))), F.lit("-"), sign))
+        return F.when(day.isNotNull(), found)
+
+    return _let(order, new)
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -186,37 +268,41 @@ def _phone(m: Column, key: str) -> Column:
     return _let(codes, new)
 
 
-_MAKE = {"email": (EMAIL, _email), "secret": (SECRET, _secret), "access_key": (ACCESS_KEY, _access_key), "ip": (IP, _ip), "card": (CARD, _card), "ssn": (SSN, _ssn), "date": (DATE, _date), "phone": (PHONE, _phone)}
+#: Of each kind the patterns that tell a match, and what makes its pseudonym. A secret is told by its name.
+_MAKE = (
+    ("secret", _NAME, _secret), ("email", f"{EMAIL}$", _email), ("access_key", f"{ACCESS_KEY}$", _access_key), ("ip", f"{IP}$", _ip), ("ip", f"{IP6}$", _ip6), ("card", f"{CARD}$", _card),
+    ("ssn", f"{SSN}$", _ssn), ("date", f"{DATE}$", _date), ("phone", f"{PHONE}$", _phone), ("phone", f"{PHONE_ABROAD}$", _phone_abroad),
+)
 
 
 def _replaced(m: Column, key: str) -> Column:
     """struct(kind, new): null kind where the match isn't valid."""
     out, none = None, F.struct(F.lit(None).cast("string").alias("kind"), m.alias("new"))
     found = lambda kind: lambda x: F.when(x.isNotNull(), F.struct(F.lit(kind).alias("kind"), x.alias("new"))).otherwise(none)
-    for kind, (pattern, make) in _MAKE.items():
-        new = make(m, key)
-        value = _let(new, found(kind))
-        cond = m.rlike(f"^(?:{pattern})$")
+    for kind, pattern, make in _MAKE:
+        value, cond = _let(make(m, key), found(kind)), m.rlike(f"^(?:{pattern})")
         out = F.when(cond, value) if out is None else out.when(cond, value)
     return out.otherwise(none)
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY, text: str = "text", kinds_as: str | None = "pii") -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str, text: str = "text", kinds_as: str | None = "pii") -> DataFrame:
     """``docs`` with personal data in ``text`` replaced and, if named, a column of the kinds found, in order."""
-    t = F.col(text)
+    while kinds_as in docs.columns:
+        kinds_as += "_"
+    # the input's columns as one, so that no name can meet one of ours
+    df = docs.select(F.struct("*").alias("row"), F.col(text).alias("t"))
     # a licence's year or version passes this too; the search proper decides
-    maybe = t.rlike("[0-9@]|AKIA")
-    df = docs.withColumn("__pii__m", F.when(maybe, F.regexp_extract_all(t, F.lit(ANY), F.lit(0))))
-    df = df.withColumn("__pii__m", F.when(F.size("__pii__m") > 0, F.col("__pii__m")))
-    df = df.withColumn("__pii__r", F.transform("__pii__m", lambda m: _replaced(m, key)))
-    parts = F.split(t, ANY, -1)
-    joined = F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get(F.col("__pii__r"), i)["new"], F.lit("")))), "")
-    kinds = F.coalesce(F.filter(F.transform("__pii__r", lambda r: r["kind"]), lambda k: k.isNotNull()), F.array().cast("array<string>"))
-    own = [F.when(F.col("__pii__r").isNotNull(), joined).otherwise(t).alias(c) if c == text else F.col(c) for c in docs.columns]
-    return df.select(*own, *([kinds.alias(kinds_as)] if kinds_as else []))
+    found = F.regexp_extract_all("t", F.lit(ANY), F.lit(0))
+    df = df.withColumn("m", F.when(F.col("t").rlike("[0-9@]|AKIA|(?i:passw|passph|pwd|secret|token|key)"), found))
+    df = df.withColumn("m", F.when(F.size("m") > 0, F.col("m"))).withColumn("r", F.transform("m", lambda m: _replaced(m, key)))
+    parts = F.split("t", ANY, -1)
+    joined = F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get(F.col("r"), i)["new"], F.lit("")))), "")
+    df = df.select(F.col("row").withField(f"`{text}`", F.when(F.col("r").isNotNull(), joined).otherwise(F.col("t"))).alias("row"), "r")
+    kinds = F.coalesce(F.filter(F.transform("r", lambda r: r["kind"]), lambda k: k.isNotNull()), F.array().cast("array<string>"))
+    return df.select("row.*", *([kinds.alias(kinds_as)] if kinds_as else []))
 
 
 def op3_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), key_of(spark, TEST_KEY))
     count = lambda kind: F.size(F.filter("pii", lambda k: k == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", "text", F.size("pii").cast("long").alias("n_pii"), *(count(k) for k in KINDS))
