@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from loomspan.llm.minhash import drop_near_duplicates
 from loomspan.llm.mixing import mix
 from loomspan.llm.packing import pack_documents
-from loomspan.llm.pii import pseudonymised
+from loomspan.llm.pii import TEST_KEY, key_of, pseudonymised
 from loomspan.llm.quality import quality_filter
 from loomspan.plans.scratch import written
 
@@ -27,7 +27,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pseudonymised(docs, kinds_as=None)
+    """By the session's key; that of the tests where none is set, so set ``spark.loomspan.pii.key`` for real documents."""
+    return pseudonymised(docs, key_of(spark, TEST_KEY), kinds_as=None)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
