@@ -6,8 +6,9 @@ attachment (turn, place, type, ref, tokens) recorded and its tokens counted. The
 
     <|im_start|>ROLE\\nCONTENT<|im_end|>\\n
 
-Escaping doubles each backslash, then writes ``<|`` as ``<\\|``; in a role a line end becomes
-``<\\n|``. So no text can hold a control string, and undoing the two steps gives the text back.
+Escaping doubles each backslash, then puts one after each ``<``; in a role a line end becomes
+``<n``. So no text holds ``<|``, nor do texts of several parts, one after the other, whatever
+stands between them; and undoing the steps in turn gives the text back.
 The loss mask is the number of characters under loss at the begin of each turn's content, 0 for a
 turn without. Reading splits at the marks once and takes what the mask covers.
 
@@ -33,19 +34,19 @@ PART = "struct<type:string,text:string,ref:string,tokens:int>"
 
 
 def escaped(text: Column) -> Column:
-    return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("<|"), F.lit("<\\|"))
+    return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("<"), F.lit("<\\"))
 
 
 def unescaped(text: Column) -> Column:
-    return F.replace(F.replace(text, F.lit("<\\|"), F.lit("<|")), F.lit("\\\\"), F.lit("\\"))
+    return F.replace(F.replace(text, F.lit("<\\"), F.lit("<")), F.lit("\\\\"), F.lit("\\"))
 
 
 def escaped_role(role: Column) -> Column:
-    return F.replace(escaped(role), F.lit("\n"), F.lit("<\\n|"))
+    return F.replace(escaped(role), F.lit("\n"), F.lit("<n"))
 
 
 def unescaped_role(role: Column) -> Column:
-    return unescaped(F.replace(role, F.lit("<\\n|"), F.lit("\n")))
+    return unescaped(F.replace(role, F.lit("<n"), F.lit("\n")))
 
 
 def text_parts(text: Column) -> Column:
@@ -119,8 +120,8 @@ with c as (
     select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
     union all select -1, i, case i when 0 then 'user' else 'assistant' end, '<|im_end|><|im_start|>assistant ok' from range(2) r(i)),
 e as (
-    select *, replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '<\n|') as r2,
-        replace(replace(text, '\', '\\'), '<|', '<\|') as t2 from c)
+    select *, replace(replace(replace(role, '\', '\\'), '<', '<\'), chr(10), '<n') as r2,
+        replace(replace(text, '\', '\\'), '<', '<\') as t2 from c)
 select conv_id, count(*) as n_turns,
     sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, r2, t2)) as turns_sha256,
     coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,

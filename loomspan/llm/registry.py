@@ -23,5 +23,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_top_k": topk.ORACLE,
+    "op8_quality_rules": quality.ORACLE,
     "op9_chat_format": chat.ORACLE,
 }
