@@ -13,10 +13,11 @@ array look-ups over thousands of positions at once. Whole texts are parsed. Ever
 language's sample counts: the ``dense`` commonest are columns of its table, the others are looked
 up in a sorted list of transitions.
 
-Training reads ``text`` and non-null ``lang`` of the documents outside the held-out fold: at most
-``SAMPLE_DOCS`` of each language, the first by a hash of their id, and of these ``SAMPLE_LETTERS``
-letters a language (both parameters). Every language is learned: samples, and the time to parse a
-text, grow with their number.
+Training reads ``text`` and non-null ``lang`` of a sample of the documents outside the held-out fold,
+bounded by two parameters: of each language the first ``SAMPLE_DOCS`` by a hash of their id, as many
+as ``SAMPLE_LETTERS`` characters hold. Only whole texts are learned from; longer ones aren't sampled
+unless a language has no other, which then is learned from its shortest. Every language is learned:
+samples, and the time to parse a text, grow with their number.
 
 Defined results: ``und`` with score 0 for a text that is null or has no letter, or when nothing
 could be learned. Ties go to the language that sorts first. The score is how far the winner's bits
@@ -181,20 +182,19 @@ def _model(samples: dict[str, str]) -> Model:
 
 
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_letters: int = SAMPLE_LETTERS) -> dict[str, str]:
-    """A bounded sample of letters per language, from labelled documents outside the held-out fold."""
+    """A bounded sample of whole texts' letters per language, from labelled documents outside the held-out fold."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT, F.lit(False)))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    # ids first: a rank over few columns, cut down before it is shuffled
-    ids = labelled.select("lang", "doc_id").withColumn("rank", rank).where(F.col("rank") <= sample_docs).select("lang", "doc_id", "rank")
-    # at most sample_docs ids a language
-    picked = labelled.join(F.broadcast(ids), ["lang", "doc_id"]).select("lang", "rank", F.substring("text", 1, 4 * sample_letters).alias("text")).distinct()
+    labelled = labelled.select("lang", "doc_id", "text", F.char_length("text").alias("n")).where("n > 0")
+    order = Window.partitionBy("lang").orderBy(F.when(F.col("n") > sample_letters, F.col("n")).otherwise(0), F.xxhash64("doc_id"), "doc_id", "n")
+    # sizes first: a rank over few columns, cut down before it is shuffled; the sum is over what is left
+    sizes = labelled.select("lang", "doc_id", "n").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample_docs)
+    upto = F.sum("n").over(Window.partitionBy("lang").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    ids = sizes.withColumn("upto", upto).where((F.col("upto") <= sample_letters) | (F.col("rank") == 1)).select("lang", "doc_id", "n", "rank")
+    # at most sample_docs ids a language; of rows that share id and size one text is taken
+    picked = labelled.join(F.broadcast(ids), ["lang", "doc_id", "n"]).groupBy("lang", "rank").agg(F.min("text").alias("text"))
     samples: dict[str, list[str]] = {}
-    sizes: Counter = Counter()
-    for r in picked.orderBy("lang", "rank", "text").toLocalIterator():
-        if sizes[r.lang] < sample_letters:
-            t = letters(r.text)[: sample_letters - sizes[r.lang]]
-            samples.setdefault(r.lang, []).append(t)
-            sizes[r.lang] += len(t) + 1
+    for r in picked.orderBy("lang", "rank").toLocalIterator():
+        samples.setdefault(r.lang, []).append(letters(r.text))
     return {k: " ".join(v) for k, v in samples.items() if any(v)}
 
 

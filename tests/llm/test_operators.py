@@ -579,6 +579,37 @@ def test_op7_rare_scripts(spark):
         assert (language_id.Model(samples, dense).bits(texts) == model.bits(texts)).all()
 
 
+def test_op7_samples_are_whole_texts(spark):
+    rows = [(i, f"{chr(97 + i % 7) * 40} end", "a") for i in range(60)] + [(100, "b" * 900 + " end", "b"), (101, "c" * 700 + " end", "b"), (102, "", "c"), (103, "12", "c"), (7, "zz end", None)]
+    rows += [(200, "same end", "d")] * 50 + [(200, f"other{i} end", "d") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = language_id.learn(df, sample_docs=5, sample_letters=500)
+    assert got["b"] in ("c" * 700 + " end", "b" * 900 + " end") and "c" not in got and 1 <= len(got["a"].split(" end")) - 1 <= 5
+    assert got["a"].endswith("end") and len(got["d"]) < 60 and got == language_id.learn(df.repartition(2), sample_docs=5, sample_letters=500)
+
+
+def test_op7_ten_scripts(spark):
+    """Japanese, Chinese, Russian and others, a sample each, and texts that aren't in them."""
+    said = {
+        "ja": ("昨日は友達と一緒に海へ行きました。とても楽しかったです。天気が良くて、たくさん写真を撮りました。", "明日は家族と一緒に山へ行きます。天気が良いといいです。"),
+        "zh": ("我们昨天和朋友一起去了海边,天气很好,拍了很多照片。这个城市有很多古老的建筑,每年吸引许多游客。", "明天我们和家人去山上,这个地方有很多游客。"),
+        "ru": ("Вчера мы с друзьями ездили на море, погода была хорошая, и мы сделали много фотографий.", "Завтра мы поедем в горы, если погода будет хорошая."),
+        "el": ("Χθες πήγαμε με τους φίλους μας στη θάλασσα και ο καιρός ήταν καλός.", "Αύριο θα πάμε στο βουνό με τους φίλους μας."),
+        "he": ("אתמול נסענו עם חברים לים ומזג האוויר היה טוב מאוד", "מחר ניסע עם חברים להרים"),
+        "ar": ("ذهبنا أمس مع الأصدقاء إلى البحر وكان الطقس جميلا", "سنذهب غدا مع الأصدقاء إلى الجبل"),
+        "ko": ("어제 친구들과 바다에 갔습니다. 날씨가 아주 좋았습니다.", "내일 친구들과 산에 갈 것입니다."),
+        "th": ("เมื่อวานเราไปทะเลกับเพื่อนและอากาศดีมาก", "พรุ่งนี้เราจะไปภูเขากับเพื่อน"),
+        "hi": ("कल हम दोस्तों के साथ समुद्र गए थे और मौसम बहुत अच्छा था", "कल हम दोस्तों के साथ पहाड़ जाएंगे"),
+        "en": ("Yesterday we went to the sea with our friends and the weather was very good.", "Tomorrow we will go to the mountains with our friends."),
+    }
+    keep = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2]
+    df = spark.createDataFrame([(i, t, k) for i, (k, (t, _)) in zip(keep, said.items(), strict=False)], "doc_id long, text string, lang string")
+    samples = language_id.learn(df)
+    assert set(samples) == set(said)
+    got = language_id.identify(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(said.values())], "doc_id long, text string"), samples).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == dict(enumerate(said))
+
+
 def test_op7_every_label_is_learned(spark):
     rows = [(i, "ab cd " + chr(0x4E00 + i % 203) * 5, f"l{i % 203}") for i in range(2030)]
     samples = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_docs=2)
