@@ -2,19 +2,25 @@
 
 Sources share ``budget`` times all words by their weights, none above ``most`` times its own size;
 what a full source can't take goes to the others by weight. A source's documents fall into keyed
-blocks. Whole passes take every document; the rest of a target is an exact quota of whole blocks
-in permuted order and one block that is taken in part, document by document. The quotas of all
-sources, as block draws, are split recursively among the output shards: each half of the shards
-gets a multivariate-hypergeometric sample of its parent's draws, so every shard's draws are exact
-and disjoint. A shard then orders its rows by a keyed hash of its own.
-
-What is collected is one row per source; the plan itself is tables with a row per block, and a
-block holds about ``BLOCK_DOCS`` documents.
-
-Defined results: a null text has size 0 and is taken as often as its source's whole passes say. A
-null source is one more source, ordered last. A null id takes part like any other. Repeated rows
-are separate rows of their block. A source of size 0 has target 0. An empty table gives no rows.
-Extra columns pass through ``mix`` and aren't read by ``mixing_plan``.
+blocks, and its blocks into a permuted order. The source's quota is a number of block draws: whole
+passes over all blocks, then as many further blocks as the rest of the target holds, and one that
+is taken in part, document by document. A tree splits the quotas of all sources among the output
+shards: each half of a node's shards gets a multivariate-hypergeometric sample of its draws. So a
+shard has, of every source, a range of draw numbers: these are the blocks that it draws, disjoint
+from all others' and exact in their sum. A document is taken as often as the shards draw its
+block. A shard orders its rows by a keyed hash of its own.
+
+Nothing that grows with the documents, sources or shards is collected. Targets are found from sums
+over the sources, one row a round; places and sums in permuted order come from range-partitioned
+numbering; the tree is a table with a row for each node and source that still has draws, split by
+tasks, each of which holds at most about ``CELLS`` of them. A block holds about ``BLOCK_DOCS``
+documents, more where there would be over ``MOST_BLOCKS`` (the sampler's urns hold 10**9 draws).
+
+Defined results: a null text has size 0 and is taken as often as its block is drawn. A null source
+is one more source, ordered last. Rows fall into blocks by id and text, so null and repeated ids
+are spread; rows alike in both are one block's, counted, not gathered. A source of size 0 has
+target 0. An empty table gives no rows. Extra columns pass through ``mix``, whatever their names,
+and aren't read by ``mixing_plan``.
 """
 
 from __future__ import annotations
@@ -27,143 +33,155 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan.llm.words import count_words, table
+from loomspan.plans.numbering import numbered
 from loomspan.plans.scratch import written
 
 WEIGHTS, BUDGET, MOST, SEED = (5, 2, 1), 1.5, 2.0, 20240607
-#: Documents of a block, on average, and block draws of an output shard.
-BLOCK_DOCS, SHARD_DRAWS = 512, 32
-#: The tree holds a number for each source and shard; beyond so many there are fewer, larger shards.
-MOST_CELLS = 4_000_000
-
-
-def water_fill(sizes: Sequence[int], weights: Sequence[float], budget: float = BUDGET, most: float = MOST) -> list[float]:
-    """Targets that share ``budget * sum(sizes)`` by weight, each at most ``most`` times its size."""
-    targets, left, open_ = [0.0] * len(sizes), budget * sum(sizes), set(range(len(sizes)))
-    while open_:
-        total = sum(weights[i] for i in open_)
-        over = [i for i in open_ if left * weights[i] / total >= most * sizes[i]]
-        if not over:
-            for i in open_:
-                targets[i] = left * weights[i] / total
-            break
-        for i in over:
-            targets[i] = most * sizes[i]
-        left -= sum(targets[i] for i in over)
-        open_ -= set(over)
-    return targets
+#: Documents of a block, on average, block draws of an output shard, and blocks of which all draws fit into an urn.
+BLOCK_DOCS, SHARD_DRAWS, MOST_BLOCKS = 512, 32, 200_000_000
+#: Children of a node that one task splits off, and numbers that it makes.
+FAN, CELLS = 1024, 1_000_000
 
 
-def split_draws(quotas: Sequence[int], shards: int, seed: int = SEED) -> list[np.ndarray]:
-    """Per shard, the draws of each source: a tree of multivariate-hypergeometric halvings with exact totals."""
+def split_draws(quotas: Sequence[int], shards: int | Sequence[int], seed: int = SEED) -> list[np.ndarray]:
+    """Draws of each source for each of some shards, or nodes of so many shards: multivariate-hypergeometric halvings with exact totals."""
+    widths = np.ones(shards, np.int64) if isinstance(shards, int) else np.array(shards, np.int64)
     out: list[np.ndarray] = []
-    stack = [(np.array(quotas, np.int64), shards, 1)]
+    stack = [(np.array(quotas, np.int64), 0, len(widths))]
     while stack:
-        urn, n, node = stack.pop()
-        if n == 1:
+        urn, a, b = stack.pop()
+        if b - a == 1:
             out.append(urn)
             continue
-        left = n // 2
-        rng = np.random.default_rng([seed, node])
-        # the "count" and "marginals" ways differ only in speed; the latter has no bound on the urn
-        took = rng.multivariate_hypergeometric(urn, int(urn.sum()) * left // n, method="marginals")
-        stack += [(urn - took, n - left, 2 * node + 1), (took, left, 2 * node)]
+        mid = (a + b) // 2
+        rng = np.random.default_rng([seed, a, b])
+        # the "count" and "marginals" ways differ only in speed; the latter has no bound on the urn's memory
+        took = rng.multivariate_hypergeometric(urn, int(urn.sum()) * int(widths[a:mid].sum()) // int(widths[a:b].sum()), method="marginals")
+        stack += [(urn - took, mid, b), (took, a, mid)]
     return out
 
 
-def _planned(docs: DataFrame, weights: Sequence[float], budget: float, most: float, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows with source and block, the blocks' draws, how often more each row of the blocks taken in part is taken)."""
-    spark = docs.sparkSession
-    sized = docs.select("doc_id", "source", count_words(F.col("text")).alias("size"))
-    sized = written(sized, "sizes")
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")).orderBy(F.asc_nulls_last("source")).collect()
-    targets = water_fill([r.source_size for r in totals], [weights[i % len(weights)] for i in range(len(totals))], budget, most)
-    rows = []
-    for i, (r, target) in enumerate(zip(totals, targets, strict=True)):
-        whole = int(target // r.source_size) if r.source_size else 0
-        rows.append((i, r.source, r.source_size, target, whole, max(0.0, target - whole * r.source_size), max(1, -(-r.n_docs // BLOCK_DOCS))))
-    schema = "s int, source string, source_size long, target double, whole int, rest double, n_blocks long"
-    sources = spark.createDataFrame(rows, schema)
+def _tree(quotas: DataFrame, shards: int, n_sources: int, seed: int) -> DataFrame:
+    """``shard, s, lo, n``: of source s, shard draws the numbers lo to lo + n - 1; from ``quotas`` (s, n). Rows with draws only."""
+    fan = max(2, min(FAN, CELLS // max(1, n_sources)))
+    names = ["shard", "width", "s", "lo", "n"]
+
+    def split(df: pd.DataFrame) -> pd.DataFrame:
+        first, width = int(df["shard"].iat[0]), int(df["width"].iat[0])
+        df = df.sort_values("s", ignore_index=True)
+        step = -(-width // fan)
+        widths = [min(step, width - at) for at in range(0, width, step)]
+        s, lo, rows, at = df["s"].to_numpy(), df["lo"].to_numpy(), [], first
+        for took, w in zip(split_draws(df["n"].to_numpy(), widths, seed + 1_000_003 * first + width), widths, strict=True):
+            has = np.flatnonzero(took)
+            rows.append(pd.DataFrame({"shard": at, "width": w, "s": s[has], "lo": lo[has], "n": took[has]}))
+            lo, at = lo + took, at + w
+        return pd.concat(rows)[names]
+
+    level = quotas.where("n > 0").select(F.lit(0).cast("long").alias("shard"), F.lit(shards).cast("long").alias("width"), "s", F.lit(0).cast("long").alias("lo"), "n")
+    width = shards
+    while width > 1:
+        level = written(level.groupBy("shard", "width").applyInPandas(split, "shard long, width long, s long, lo long, n long"), "tree")
+        width = -(-width // fan)
+    return level.select("shard", "s", "lo", "n")
+
+
+def _sources(sized: DataFrame, weights: Sequence[float], budget: float, most: float) -> tuple[DataFrame, int]:
+    """(a row a source: s, source, source_size, target, whole, rest, n_docs; their number)."""
+    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
+    weight = F.element_at(F.array(*map(F.lit, map(float, weights))), (F.pmod("s", F.lit(len(weights))) + 1).cast("int"))
+    sources = written(numbered(totals, F.asc_nulls_last("source"), as_="s").withColumn("weight", weight), "sources")
+    n, total, all_weight = sources.agg(F.count("*"), F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    # words a unit of weight: full sources leave their rest to the others, which may fill some of these, and so on
+    share, full = budget * total / all_weight if n else 0.0, -1
+    while n:
+        is_full = F.lit(share) * F.col("weight") >= most * F.col("source_size")
+        now, size, w = sources.where(is_full).agg(F.count("*"), F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+        if now == full or now == n:
+            break
+        full, share = now, (budget * total - most * size) / (all_weight - w)
+    target = F.least(F.lit(float(share)) * F.col("weight"), most * F.col("source_size"))
+    whole = F.when(F.col("source_size") > 0, F.floor(target / F.col("source_size"))).otherwise(0).cast("int")
+    sources = sources.withColumn("target", target.cast("double")).withColumn("whole", whole)
+    rest = F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))
+    return sources.select("s", "source", "source_size", "target", "whole", rest.alias("rest"), "n_docs"), n
+
+
+def _planned(docs: DataFrame, weights: Sequence[float], budget: float, most: float, seed: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(rows with source and block, sources, the blocks' draws, how many alike rows of the blocks taken in part are taken once more)."""
+    key = F.xxhash64(F.lit(seed), "doc_id", "text").alias("key")
+    sized = written(docs.select("doc_id", "source", count_words(F.col("text")).alias("size"), key), "sizes")
+    sources, n_sources = _sources(sized, weights, budget, most)
+    n_docs = sources.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
+    per_block = max(BLOCK_DOCS, -(-n_docs // MOST_BLOCKS))
+    sources = written(sources.withColumn("n_blocks", F.ceil(F.col("n_docs") / per_block).cast("long")), "sources")
     placed = sized.withColumnRenamed("source", "own").join(sources, F.col("own").eqNullSafe(F.col("source"))).drop("own")
-    placed = placed.select("doc_id", "source", "size", "s", "source_size", "target", "whole", "rest", "n_blocks")
-    placed = placed.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("n_blocks")))
-    blocks = placed.groupBy("s", "block").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("whole").alias("whole"))
-    order = Window.partitionBy("s").orderBy(F.xxhash64(F.lit(seed + 1), "s", "block"), "block")
-    upto = F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    # place: 0.. in permuted order; part: what of the block the last pass takes
-    blocks = blocks.withColumns({"place": (F.row_number().over(order) - 1).cast("long"), "upto": upto})
-    before = F.col("upto") - F.col("words")
-    room = F.col("rest") - before
-    part = F.when(F.col("rest") <= 0, F.lit("none")).when(F.col("upto") <= F.col("rest"), F.lit("all")).when(room > 0, F.lit("some")).otherwise(F.lit("none"))
-    blocks = written(blocks.select("s", "block", "place", "whole", part.alias("part"), F.when(part == "some", room).alias("room")), "blocks")
-
-    # a block is drawn once in each whole pass and once more if the last pass takes any of it
-    drawn = blocks.groupBy("s").agg(F.sum(F.col("whole") + F.when(F.col("part") != "none", 1).otherwise(0)).alias("q"))
-    quotas = {r.s: int(r.q) for r in drawn.collect()}
-    q = [quotas.get(i, 0) for i in range(len(totals))]
-    shards = max(1, min(-(-sum(q) // SHARD_DRAWS), MOST_CELLS // max(1, len(q))))
-    per_shard = split_draws(q, shards, seed)
-    ends = np.cumsum(np.array(per_shard, np.int64).reshape(shards, len(q)), axis=0)
-    bounds = spark.createDataFrame([(i, ends[:, i].tolist()) for i in range(len(q))], "s int, ends array<bigint>")
-    n_blocks = blocks.groupBy("s").agg(F.count("*").alias("m"))
-    last = F.when(F.col("part") != "none", 1).otherwise(0)
-    # draw numbers of a source: pass by pass, blocks in permuted order; shard = how many shards end before
-    draws = F.transform(F.when(F.col("whole") + last > 0, F.sequence(F.lit(0), F.col("whole") + last - 1)).otherwise(F.array().cast("array<int>")), lambda p: p * F.col("m") + F.col("place"))
-    shard_of = F.transform(draws, lambda d: F.size(F.filter("ends", lambda e: e <= d)))
-    plan = blocks.join(n_blocks, "s").join(bounds, "s").select("s", "block", "part", "room", "whole", shard_of.alias("draw_shards"))
-    plan = written(plan, "plan")
-    # one block a source is taken in part; a block has about BLOCK_DOCS rows
-    some = placed.join(plan.where("part = 'some'"), ["s", "block"])
+    placed = placed.select("doc_id", "source", "size", "s", "source_size", "target", F.pmod("key", "n_blocks").alias("block"))
+
+    # blocks in permuted order: place 0.. and words before, each from the source's first block on
+    blocks = placed.groupBy("s", "block").agg(F.sum("size").alias("words"))
+    order = ("s", F.xxhash64(F.lit(seed + 1), "s", "block"), "block")
+    blocks = written(numbered(blocks, *order, as_="place", sum_of="words", sum_as="before"), "blocks")
+    starts = blocks.groupBy("s").agg(F.min("place").alias("place0"), F.min("before").alias("before0"), F.count("*").alias("m"))
+    blocks = blocks.join(starts, "s").join(sources.select("s", "whole", "rest"), "s")
+    place, room = F.col("place") - F.col("place0"), F.col("rest") - (F.col("before") - F.col("before0"))
+    blocks = written(blocks.select("s", "block", place.alias("place"), "m", "whole", ((room > 0) & (F.col("words") > room)).alias("in_part"), room.alias("room"), (room > 0).alias("more")), "blocks")
+    # of the last pass, the blocks before the target's end; the one across it is its last draw
+    quotas = blocks.groupBy("s").agg((F.first("m") * F.first("whole") + F.count(F.when(F.col("more"), 1))).alias("n"))
+    total = quotas.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    tree = _tree(quotas, max(1, -(-total // SHARD_DRAWS)), n_sources, seed)
+    draws = tree.select("s", "shard", F.explode(F.sequence("lo", F.col("lo") + F.col("n") - 1)).alias("draw")).join(starts.select("s", "m"), "s")
+    drawn = draws.groupBy("s", (F.col("draw") % F.col("m")).alias("place")).agg(F.sort_array(F.collect_list(F.struct("draw", "shard"))).alias("d"))
+    shards = F.coalesce(F.transform("d", lambda x: x["shard"]), F.array().cast("array<bigint>"))
+    plan = written(blocks.join(drawn, ["s", "place"], "left").select("s", "block", "in_part", "room", shards.alias("draw_shards")), "plan")
+    # one block a source is taken in part: about BLOCK_DOCS rows, alike ones counted
+    some = placed.join(plan.where("in_part"), ["s", "block"]).groupBy("s", "doc_id", "size").agg(F.count("*").alias("n"), F.first("room").alias("room"))
 
     def fit(df: pd.DataFrame) -> pd.DataFrame:
-        """Largest first, each document that still fits; then the smallest left over, if that comes nearer."""
+        """Largest first, as many as still fit; then the smallest left over, if that comes nearer."""
         df = df.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable", ignore_index=True)
-        left, more = float(df["room"].iat[0]), np.zeros(len(df), np.int32)
-        for i, size in enumerate(df["size"].tolist()):
-            if size <= left:
-                more[i], left = 1, left - size
-        rest = np.flatnonzero(more == 0)
-        if len(rest) and abs(left - df["size"].iat[rest[-1]]) < left:
-            more[rest[-1]] = 1
+        left, more = float(df["room"].iat[0]), np.zeros(len(df), np.int64)
+        sizes, n = df["size"].to_numpy(), df["n"].to_numpy()
+        for i in range(len(df)):
+            more[i] = n[i] if sizes[i] == 0 else min(n[i], int(left // sizes[i]))
+            left -= float(more[i] * sizes[i])
+        rest = np.flatnonzero(more < n)
+        if len(rest) and abs(left - sizes[rest[-1]]) < left:
+            more[rest[-1]] += 1
         return df.assign(more=more)[["s", "doc_id", "size", "more"]]
 
-    fitted = some.select("s", "doc_id", "size", "room").groupBy("s").applyInPandas(fit, "s int, doc_id long, size long, more int")
-    return placed.drop("whole", "rest"), plan, written(fitted, "fitted")
+    fitted = written(some.groupBy("s").applyInPandas(fit, "s long, doc_id long, size long, more long"), "fitted")
+    return placed, sources, plan, fitted
 
 
-def _numbered(df: DataFrame, *by: str) -> DataFrame:
-    """Rows that share these columns, told apart by a number; which has which doesn't matter, they are alike."""
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(F.lit(0))))
+def _taken(joined: DataFrame, fitted: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of the rows with times, taken and shards: a row is taken as often as its block is drawn, but one draw of a block in part."""
+    by = ["s", "doc_id", "size"]
+    drawn = F.size("draw_shards")
+    rest = joined.where("not in_part").withColumn("times", drawn)
+    # rows that share these columns are told apart by a number; which has which doesn't matter, they are alike
+    some = joined.where("in_part").withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy(F.lit(0))))
+    more = fitted.select(*(F.col(c).alias(f"f_{c}") for c in (*by, "more")))
+    same = (F.col("s") == F.col("f_s")) & F.col("doc_id").eqNullSafe(F.col("f_doc_id")) & (F.col("size") == F.col("f_size"))
+    some = some.join(more, same).withColumn("times", F.when(drawn > 0, drawn - 1 + F.when(F.col("nth") <= F.col("f_more"), 1).otherwise(0)).otherwise(0))
+    out = [*columns, F.col("times").cast("int").alias("times"), (F.col("times") * F.col("size")).cast("long").alias("taken"), F.slice("draw_shards", F.lit(1), F.col("times")).alias("shards")]
+    return rest.select(*out).unionByName(some.select(*out))
 
 
 def mixing_plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUDGET, most: float = MOST, seed: int = SEED) -> DataFrame:
     """Per row of ``docs``: doc_id, source, size, source_size, target, times (how often it is taken), taken and shards (of each taking)."""
-    placed, plan, fitted = _planned(docs, weights, budget, most, seed)
+    placed, _, plan, fitted = _planned(docs, weights, budget, most, seed)
     return _taken(placed.join(plan, ["s", "block"]), fitted, ["doc_id", "source", "size", "source_size", "target"])
 
 
-def _taken(joined: DataFrame, fitted: DataFrame, columns: list[str]) -> DataFrame:
-    """``columns`` of the rows with times, taken and shards."""
-    by = ["s", "doc_id", "size"]
-    rest = joined.where("part <> 'some'").withColumn("more", F.when(F.col("part") == "all", 1).otherwise(0))
-    some = _numbered(joined.where("part = 'some'"), *by).withColumnRenamed("doc_id", "__id")
-    more = _numbered(fitted, *by).withColumnsRenamed({"doc_id": "__fid", "size": "__fsize", "s": "__fs", "__n": "__fn"})
-    same = (F.col("s") == F.col("__fs")) & F.col("__id").eqNullSafe(F.col("__fid")) & (F.col("size") == F.col("__fsize")) & (F.col("__n") == F.col("__fn"))
-    some = some.join(more, same).withColumnRenamed("__id", "doc_id")
-    times = F.col("whole") + F.col("more")
-    out = [*columns, times.cast("int").alias("times"), (times * F.col("size")).cast("long").alias("taken"), F.slice("draw_shards", 1, times).alias("shards")]
-    return rest.select(*out).unionByName(some.select(*out))
-
-
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUDGET, most: float = MOST, seed: int = SEED) -> DataFrame:
     """The mixture: each row of ``docs`` as often as the plan takes it, with all its columns, shuffled within its output shards.
 
     Texts meet only the small tables of sources and blocks and move once, to their shards.
     """
-    columns = docs.columns
-    placed, plan, fitted = _planned(docs, weights, budget, most, seed)
-    sources = placed.select("s", F.col("source").alias("__source"), "n_blocks").distinct()
-    rows = docs.select(F.struct(*columns).alias("row"), F.col("doc_id"), F.col("source"), count_words(F.col("text")).alias("size"))
-    rows = rows.join(sources, F.col("source").eqNullSafe(F.col("__source"))).withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("n_blocks")))
+    _, sources, plan, fitted = _planned(docs, weights, budget, most, seed)
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id"), F.col("source").alias("own"), count_words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("key"))
+    rows = rows.join(sources.select("s", "source", "n_blocks"), F.col("own").eqNullSafe(F.col("source"))).withColumn("block", F.pmod("key", "n_blocks"))
     taken = _taken(rows.join(plan, ["s", "block"]), fitted, ["row", "doc_id"]).where("times > 0")
     out = taken.select("row", "doc_id", F.posexplode("shards").alias("pass", "shard"))
     out = out.repartition("shard").sortWithinPartitions("shard", F.xxhash64(F.lit(seed + 2), "shard", "doc_id", "pass"))

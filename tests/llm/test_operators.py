@@ -119,6 +119,23 @@ def test_shingles_and_estimates():
     assert minhash._corrected(differ) == pytest.approx(360 / 440, abs=0.12)
 
 
+def water_fill(sizes, weights, budget=1.5, most=2.0):
+    """Targets by hand: who can't take its share closes, and the rest is shared again."""
+    targets, left, open_ = [0.0] * len(sizes), budget * sum(sizes), set(range(len(sizes)))
+    while open_:
+        total = sum(weights[i] for i in open_)
+        over = [i for i in open_ if left * weights[i] / total >= most * sizes[i]]
+        if not over:
+            for i in open_:
+                targets[i] = left * weights[i] / total
+            break
+        for i in over:
+            targets[i] = most * sizes[i]
+        left -= sum(targets[i] for i in over)
+        open_ -= set(over)
+    return targets
+
+
 def test_op2_mixture(docs, empty):
     rows = docs.collect()
     sizes = Counter()
@@ -126,7 +143,7 @@ def test_op2_mixture(docs, empty):
         sizes[r.source] += len(words(r.text))
     sources = sorted(sizes, key=lambda s: (s is None, s or ""))
     assert sources == ["s1", "s10", "s2", None]
-    want = dict(zip(sources, mixing.water_fill([sizes[s] for s in sources], [5, 2, 1, 5]), strict=True))
+    want = dict(zip(sources, water_fill([sizes[s] for s in sources], [5, 2, 1, 5]), strict=True))
     assert sum(want.values()) == pytest.approx(1.5 * sum(sizes.values()))
     assert all(want[s] <= 2 * sizes[s] + 1e-6 for s in sources)
     plan = mixing.mixing_plan(docs)
@@ -170,6 +187,31 @@ def test_op2_near_target_and_tree(spark):
 
 
 KEY = pii.TEST_KEY
+def test_op2_draws_of_shards_decide(spark, tmp_path, monkeypatch):
+    """Ranges of the tree's leaves cover each source's draws once, over several rounds; without them nothing is taken."""
+    quotas = {0: 1000, 1: 37, 2: 0, 5: 400}
+    monkeypatch.setattr(mixing, "FAN", 4)
+    tree = mixing._tree(spark.createDataFrame(list(quotas.items()), "s long, n long"), 45, 4, 9).collect()
+    for s, q in quotas.items():
+        assert sorted(d for r in tree if r.s == s for d in range(r.lo, r.lo + r.n)) == list(range(q))
+    per = Counter()
+    for r in tree:
+        per[r.shard] += r.n
+    assert set(per) <= set(range(45)) and max(per.values()) - min(per.values()) <= 6 and len({(r.shard, r.s) for r in tree}) == len(tree)
+    rows = [(i, " ".join(["w"] * (1 + i % 90)), f"s{i % 4}") for i in range(20_000)] + [(None, "a b", "s0")] * 300 + [(7, "a b c", "s1")] * 300
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda: registry.QUERIES["op2_source_mixing"](spark, str(tmp_path))
+    got = run().collect()
+    assert sorted(map(str, got)) == sorted(map(str, run().collect())) and len(got) == len(rows)
+    assert all(r.taken == r.size * len(r.shards) for r in got) and len({x for r in got for x in r.shards}) > 1
+    by = Counter()
+    for r in got:
+        by[r.source_size, r.target] += r.taken
+    assert len(by) == 4 and all(abs(n - target) <= 1 for (_, target), n in by.items())
+    monkeypatch.setattr(mixing, "_tree", lambda q, *a: q.select(F.lit(0).cast("long").alias("shard"), "s", F.lit(0).cast("long").alias("lo"), "n").where("s = 1"))
+    assert {r.source_size for r in run().collect() if r.taken} == {sum(1 + i % 90 for i in range(1, 20_000, 4)) + 900}
+
+
 PERSONAL = [
     "call +1 (323) 555-9830 or (323) 555-9830 or 323-555-9830, 4467920212765298 and 4467 9202 1276 5298",
     "a.b+c@x-y.com; 1.2.3.4, 300.1.1.1 1.2.3.4. 123-45-6789 000-12-3456 2024-02-29 2023-02-29 again A.B+c@X-y.com",
