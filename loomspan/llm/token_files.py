@@ -10,6 +10,10 @@ document its id (i64), whether it has one (u8) and its number of ids (u32); the
 control bytes (a quarter of the ids, rounded up); data bytes. Documents ascend by id through
 blocks and shards, a null id first, equal ids by text.
 
+Documents are range-partitioned by id and the begin of their text, so neither null nor repeated ids
+fill one task; a task writes shard after shard, each closed at ``SHARD_BYTES`` of text. Shards are
+named by task and number, so their names ascend as their documents do.
+
 Defined results: a null or empty text has the end id only. Repeated rows are written once each.
 An empty table gives no shard and an empty result. Extra columns aren't read. A document longer
 than a block makes a block of its own.
@@ -24,19 +28,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.llm.encoder import VOCABULARY, encoder, slices, vocabulary_path
 from loomspan.llm.words import table
+from loomspan.plans.numbering import numbered
 from loomspan.plans.scratch import scratch_path, written
 
 MAGIC = b"LSTK"
 END_ID = 1
-#: Bytes of text that a shard is meant to hold, the same where there are fewer shards than cores, and ids at which a block is closed.
-SHARD_BYTES, SMALL_BYTES, BLOCK_IDS = 32 << 20, 2 << 20, 1 << 21
+#: Bytes of text at which a shard is closed, that a task is meant to get, the same where there are fewer tasks than cores, and ids at which a block is closed.
+SHARD_BYTES, TASK_BYTES, SMALL_BYTES, BLOCK_IDS = 32 << 20, 128 << 20, 2 << 20, 1 << 21
+#: Characters of a text that decide, among equal ids, in which task it is.
+BEGIN = 64
 
-MANIFEST = "shard int, path string, n_docs long, n_ids long, n_bytes long"
+MANIFEST = "shard long, path string, n_docs long, n_ids long, n_bytes long"
 #: Of a control byte, the byte lengths of its four ranks.
 _LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
@@ -109,7 +117,7 @@ def _open(uri: str):
 
 
 def write_token_shards(
-    docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int | None = END_ID, shard_bytes: int = SHARD_BYTES, block_ids: int = BLOCK_IDS
+    docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int | None = END_ID, shard_bytes: int = SHARD_BYTES, block_ids: int = BLOCK_IDS, task_bytes: int = TASK_BYTES
 ) -> DataFrame:
     """Writes ``doc_id, text`` as shards below the URI ``path``; a lazy manifest, a row a shard.
 
@@ -119,18 +127,15 @@ def write_token_shards(
     docs = docs.select("doc_id", "text")
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # small inputs are cut finer, for as many tasks as there are cores
-    n = max(1, math.ceil(n_bytes / shard_bytes), min(2 * docs.sparkSession.sparkContext.defaultParallelism, n_bytes // SMALL_BYTES))
-    at = F.lit(0)
-    if n > 1:
-        cuts = sorted(set(docs.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.1 / n)))
-        if cuts:
-            at = F.size(F.filter(F.array(*map(F.lit, map(int, cuts))), lambda c: c < F.col("doc_id")))
-    placed = docs.withColumn("shard", F.when(F.col("doc_id").isNull(), 0).otherwise(at).cast("int")).repartition(n, "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
+    n = max(1, math.ceil(n_bytes / task_bytes), min(2 * docs.sparkSession.sparkContext.defaultParallelism, n_bytes // SMALL_BYTES))
+    first = F.asc_nulls_first("doc_id")
+    # a text's begin is in order wherever the text is
+    placed = docs.repartitionByRange(n, first, F.asc_nulls_first(F.left("text", F.lit(BEGIN)))).sortWithinPartitions(first, F.asc_nulls_first("text"))
     source, end = vocabulary or vocabulary_path(VOCABULARY), b"" if end_id is None else np.uint32(end_id).astype("<u4").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, fs_root = encoder(source), None
-        shard, out, own, row = None, None, "", None
+        known, part, shard = encoder(source), TaskContext.get().partitionId(), 0
+        out, own, row, n_text = None, "", {}, 0
         doc_ids: list[int | None] = []
         ids: list[bytes] = []
         size = 0
@@ -148,27 +153,31 @@ def write_token_shards(
                 size = 0
 
         def close() -> pa.RecordBatch:
+            nonlocal out, shard, n_text
             flush()
             out.close()
             files.move(own, own.removesuffix(own[own.rindex(".") :]))
-            return pa.RecordBatch.from_pylist([row], pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())]))
+            out, shard, n_text = None, shard + 1, 0
+            return pa.RecordBatch.from_pylist([row], pa.schema([("shard", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())]))
 
         for batch in slices(batches):
-            for doc_id, text, k in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), batch["shard"].to_pylist(), strict=True):
-                if k != shard:
-                    if out:
-                        yield close()
-                    files, fs_root = _open(path)
-                    files.create_dir(fs_root, recursive=True)
-                    shard, own = k, f"{fs_root}/{k:06d}.tokens.{os.getpid()}-{os.urandom(4).hex()}"
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                if out is None:
+                    files, root = _open(path)
+                    files.create_dir(root, recursive=True)
+                    name = f"{part:08d}-{shard:06d}.tokens"
+                    own = f"{root}/{name}.{os.getpid()}-{os.urandom(4).hex()}"
                     out = files.open_output_stream(own)
-                    row = {"shard": k, "path": f"{path}/{k:06d}.tokens", "n_docs": 0, "n_ids": 0, "n_bytes": 0}
+                    row = {"shard": part << 24 | shard, "path": f"{path}/{name}", "n_docs": 0, "n_ids": 0, "n_bytes": 0}
                 some = known.encode(text) + end
                 if ids and size + len(some) // 4 > block_ids:
                     flush()
                 doc_ids.append(doc_id)
                 ids.append(some)
                 size += len(some) // 4
+                n_text += len(text or "")
+                if n_text >= shard_bytes:
+                    yield close()
         if out:
             yield close()
 
@@ -177,9 +186,8 @@ def write_token_shards(
 
 def read_token_shards(manifest: DataFrame, n_tasks: int) -> DataFrame:
     """Per document of the shards in ``manifest``, from the files: doc_id, start, n_tokens, ids_crc32."""
-    # one row a shard: the only place where all shards meet
-    before = F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = manifest.select("shard", "path", before.cast("long").alias("start")).repartition(max(1, n_tasks), "shard")
+    starts = numbered(manifest.select("shard", "path", "n_ids"), "shard", sum_of="n_ids", sum_as="start")
+    rows = starts.select("path", F.col("start").cast("long").alias("start")).repartition(max(1, n_tasks))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

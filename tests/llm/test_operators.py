@@ -455,7 +455,7 @@ def test_encoder_equals_the_library(spark, tokenizer):
 
 
 def test_op4_files(docs, empty, tokenizer, tmp_path):
-    manifest = token_files.write_token_shards(docs, f"file://{tmp_path}/tokens", shard_bytes=20_000, block_ids=500)
+    manifest = token_files.write_token_shards(docs, f"file://{tmp_path}/tokens", shard_bytes=10_000, block_ids=500, task_bytes=20_000)
     manifest = manifest.sparkSession.createDataFrame(manifest.collect(), manifest.schema)
     assert manifest.count() > 1
     got = [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in token_files.read_token_shards(manifest, 3).collect()]
@@ -469,6 +469,17 @@ def test_op4_files(docs, empty, tokenizer, tmp_path):
     assert token_files.write_token_shards(empty, f"file://{tmp_path}/none").count() == 0
 
 
+def test_op4_shards_follow_bytes(spark, tmp_path):
+    """Null ids and one id for all don't make one task or shard; the query reads back what was written."""
+    rows = [(None if i % 2 else 5, f"{i:05d} " + prose(40, i)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    made = token_files.write_token_shards(df, f"file://{tmp_path}/t", shard_bytes=4_000, task_bytes=15_000).collect()
+    assert len(made) > 10 and max(r.n_docs for r in made) < 60 and len({r.shard >> 24 for r in made}) > 3 and sum(r.n_docs for r in made) == 400
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.start, r.n_tokens) for r in registry.QUERIES["op4_token_files"](spark, str(tmp_path)).collect())
+    assert len(got) == 400 and got[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(got, got[1:], strict=False))
+
+
 @pytest.mark.parametrize("values", [[], [0], [255, 256], [2**32 - 1, 0, 65535, 65536, 2**24 - 1, 2**24, 7], list(range(0, 70000, 13))])
 def test_op4_coding_round_trip(values):
     x = np.array(values, np.uint32)
