@@ -39,7 +39,7 @@ from loomspan.plans.scratch import scratch_path, written
 
 MAGIC = b"LSTK"
 END_ID = 1
-#: Bytes of text at which a shard is closed, that a task is meant to get, the same where there are fewer tasks than cores, and ids at which a block is closed.
+#: Bytes of text at which a shard is closed, that a task gets at most and at least, and ids at which a block is closed.
 SHARD_BYTES, TASK_BYTES, SMALL_BYTES, BLOCK_IDS = 32 << 20, 128 << 20, 2 << 20, 1 << 21
 #: Characters of a text that decide, among equal ids, in which task it is.
 BEGIN = 64
@@ -126,8 +126,8 @@ def write_token_shards(
     """
     docs = docs.select("doc_id", "text")
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # small inputs are cut finer, for as many tasks as there are cores
-    n = max(1, math.ceil(n_bytes / task_bytes), min(2 * docs.sparkSession.sparkContext.defaultParallelism, n_bytes // SMALL_BYTES))
+    # as many tasks as the session's shuffles have, more where they would get too much, fewer where next to nothing
+    n = max(1, math.ceil(n_bytes / task_bytes), min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_bytes // SMALL_BYTES))
     first = F.asc_nulls_first("doc_id")
     # a text's begin is in order wherever the text is
     placed = docs.repartitionByRange(n, first, F.asc_nulls_first(F.left("text", F.lit(BEGIN)))).sortWithinPartitions(first, F.asc_nulls_first("text"))
