@@ -2,29 +2,42 @@
 
 Filters and columns that the function needs are applied below it, since Catalyst can't see into
 Python. Results stay a DataFrame, or come as a list, an ordered iterator, or an iterator in order
-of completion, which runs one Spark job a batch from driver threads.
+of completion.
+
+Rows reach a function as Python values made from Arrow, never through floats: a long stays a long
+beside nulls, and a null is None. A backend runs the batches: executors' workers, one Spark job a
+batch, or the driver, where the function shares the caller's objects. Inside a task, settings are
+those of the caller's scope, with the nested backend.
 """
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import pickle
+import sys
 import threading
 import time
 import traceback
 import uuid
 import warnings
 from collections.abc import Callable, Iterable, Iterator
-from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
+from concurrent.futures import FIRST_COMPLETED, wait
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from loomspan.functions.scalars import arithmetic, is_silent, short_time
-from loomspan.plans.config import UNSET, Backend, effective_n_jobs, make_backend, setting
+from loomspan.functions.scalars import arithmetic, is_silent, short_time, size_bytes
+from loomspan.operators.batching import BatchTuner, look_ahead
+from loomspan.plans.config import UNSET, ArrowBackend, Backend, SequentialBackend, active_backend, carried, effective_n_jobs, make_backend, scope_for_tasks, setting, started
+from loomspan.plans.numbering import numbered
+from loomspan.plans.scratch import drop, written
+from loomspan.plans.sharing import with_shared_arguments
 
 DELIVERY = ("frame", "list", "generator", "generator_unordered")
 _ERROR = "__loomspan_error"
@@ -63,132 +76,242 @@ def seeded(seed: int, *ids: Column | str) -> Column:
     return F.xxhash64(F.lit(seed), *ids)
 
 
+def rows_of(batch: pa.RecordBatch) -> list[dict]:
+    """Rows as dictionaries of Python values; maps are dictionaries too."""
+    return batch.to_pylist(maps_as_pydicts="strict")
+
+
+def batch_of(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    """The reverse; a name that a row lacks is null."""
+    plain = lambda v, t: v if v is None else list(v.items()) if pa.types.is_map(t) and isinstance(v, dict) else v
+    return pa.RecordBatch.from_arrays([pa.array([plain(r.get(f.name), f.type) for r in rows], f.type) for f in schema], schema=schema)
+
+
+def frame_of(batch: pa.RecordBatch) -> pd.DataFrame:
+    """As pandas; whole numbers beside nulls in pandas' nullable types, as floats would change them."""
+    nullable = {pa.int8(): pd.Int8Dtype(), pa.int16(): pd.Int16Dtype(), pa.int32(): pd.Int32Dtype(), pa.int64(): pd.Int64Dtype()}
+    some = [pa.types.is_integer(f.type) and batch.column(i).null_count > 0 for i, f in enumerate(batch.schema)]
+    columns = {f.name: batch.column(i).to_pandas(types_mapper=nullable.get if some[i] else None) for i, f in enumerate(batch.schema)}
+    return pd.DataFrame(columns)
+
+
+#: Initialisers that this process has run.
+_READY: set[str] = set()
+
+
+def _applied(function: Callable, schema: T.StructType, frames: bool, scope: dict, ready: tuple[str, Callable, tuple] | None) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    """``function`` over one batch, in the caller's scope and after the initialiser, once a process."""
+    kind, names = to_arrow_schema(schema), schema.names
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        if ready and ready[0] not in _READY:
+            ready[1](*ready[2])
+            _READY.add(ready[0])
+        with carried(scope):
+            if frames:
+                return pa.RecordBatch.from_pandas(function(frame_of(batch))[names], kind, preserve_index=False)
+            return batch_of([function(r) for r in rows_of(batch)], kind)
+
+    return run
+
+
 class MapEngine:
     """Runs ``function(row as dict) -> dict`` or, with ``frames=True``, ``function(pandas) -> pandas`` over a table.
 
-    ``on_error``: "raise" ends all work at the first error, which is raised with its own type.
-    ``timeout`` is counted from when a result is waited for.
+    A list or iterator ends all work at the first error, which is raised with its own type; a
+    failed call isn't tried again. ``timeout`` is counted from when a result is waited for, and
+    ignored with one job. With ``n_jobs=1`` and no backend named, rows are worked on in a plain
+    loop on the driver. Arguments of a ``functools.partial`` beyond ``max_bytes`` are sent once.
+    ``initializer(*initargs)`` runs once in each worker process. In a ``with`` block the backend
+    stays started from call to call. Results of a function that isn't ``deterministic`` are written
+    once, so all that is derived from a frame sees the same.
     """
 
     def __init__(
         self, return_as: str = "frame", batch_size: int | str = "auto", n_jobs: int | None | object = UNSET, timeout: float | None = None, verbose: int | object = UNSET,
         where: Column | str | None = None, columns: list[str] | None = None, frames: bool = False, backend: str | Backend | object = UNSET, pre_dispatch: str | int = "2 * n_jobs",
+        prefer: str | None = None, require: str | None = None, max_bytes: str | int | None = "1M", initializer: Callable | None = None, initargs: tuple = (), deterministic: bool = True,
     ):
         if return_as not in DELIVERY:
             raise ValueError(f"return_as must be one of {DELIVERY}, not {return_as!r}")
         if not (batch_size == "auto" or isinstance(batch_size, int) and batch_size > 0):
             raise ValueError(f"batch_size must be 'auto' or a positive number, not {batch_size!r}")
         self.return_as, self.batch_size, self.timeout, self.where, self.columns, self.frames = return_as, batch_size, timeout, where, columns, frames
-        self.backend = make_backend(setting("backend", backend))
         jobs = setting("n_jobs", n_jobs)
+        self.backend = active_backend(prefer, require) if backend is UNSET else make_backend(backend)
         self.n_jobs, self.verbose, self.pre_dispatch = effective_n_jobs(-1 if jobs is None else jobs), int(setting("verbose", verbose)), pre_dispatch
+        if self.n_jobs == 1 and return_as != "frame" and type(self.backend) is ArrowBackend and backend is UNSET:
+            self.backend = SequentialBackend()
+        self.backend.n_jobs = self.n_jobs if self.backend.n_jobs is None else self.backend.n_jobs
         if return_as.startswith("generator") and not self.backend.streams:
             raise ValueError(f"backend {self.backend.name!r} can't deliver results one by one")
-        self._running = threading.Lock()
+        self.max_bytes = size_bytes(max_bytes) if isinstance(max_bytes, str) else max_bytes
+        self._ready = (uuid.uuid4().hex, initializer, initargs) if initializer else None
+        self.deterministic, self._running, self._held = deterministic, threading.Lock(), None
 
     def ahead(self) -> int | None:
         """Batches that may be in work beyond those consumed; None: all."""
         p = self.pre_dispatch
         return None if p == "all" else max(1, int(p if isinstance(p, int) else arithmetic(p.replace("n_jobs", str(self.n_jobs)))))
 
-    def frame(self, function: Callable, df: DataFrame, schema: str | T.StructType) -> DataFrame:
-        """The lazy result; failures carry the original exception in a column that ``_raise`` reads."""
+    def __enter__(self) -> MapEngine:
+        self._held = started(self.backend, SparkSession.getActiveSession())
+        return self
+
+    def __exit__(self, *_) -> None:
+        held, self._held = self._held, None
+        held.stop()
+
+    @contextlib.contextmanager
+    def _started(self, spark: SparkSession) -> Iterator[Backend]:
+        if self._held is not None:
+            yield self._held
+            return
+        backend = started(self.backend, spark)
+        try:
+            yield backend
+        finally:
+            backend.stop()
+
+    def _cut(self, df: DataFrame, *needed: str) -> DataFrame:
         if self.where is not None:
             df = df.where(self.where)
-        if self.columns is not None:
-            df = df.select(*self.columns)
-        schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-        names, frames = schema.names, self.frames
+        return df if self.columns is None else df.select(*dict.fromkeys([*needed, *self.columns]))
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if frames:
-                    yield function(batch)[names]
-                else:
-                    rows = [function(r) for r in batch.to_dict("records")]
-                    yield pd.DataFrame.from_records(rows, columns=names)
-
-        return df.mapInPandas(run, schema)
+    def frame(self, function: Callable, df: DataFrame, schema: str | T.StructType) -> DataFrame:
+        """The lazy result. An action on it fails with Spark's error, which holds the function's traceback."""
+        schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        if self.max_bytes is not None:
+            function = with_shared_arguments(df.sparkSession, function, self.max_bytes)
+        run = _applied(function, schema, self.frames, scope_for_tasks(self.backend), self._ready)
+        out = self._cut(df).mapInArrow(lambda batches: map(run, batches), schema)
+        return out if self.deterministic else written(out, "mapped")
 
     def __call__(self, function: Callable, df: DataFrame, schema: str | T.StructType):
         if self.return_as == "frame":
             return self.frame(function, df, schema)
         if not self._running.acquire(blocking=False):
             raise RuntimeError("this engine is at work; its results must be consumed first")
-        found = self._batched(function, df, schema)
+        found = self._batched(function, df, T.StructType.fromDDL(schema) if isinstance(schema, str) else schema)
         return list(found) if self.return_as == "list" else found
 
-    def _batched(self, function: Callable, df: DataFrame, schema: str | T.StructType) -> Iterator[Row]:
-        """One job a batch of consecutive task ids, so many at a time as ``ahead`` says."""
+    def _sizes(self, n: int, backend: Backend) -> Iterator[tuple[int, int]]:
+        """(first place, size) of batch after batch, as they are asked for; "auto" follows the tuner, and gets finer near the end."""
+        at = 0
+        while at < n:
+            if isinstance(self.batch_size, int):
+                size = self.batch_size
+            elif not backend.batches():
+                size = 1
+            else:
+                size, left = self._tuner.next_size(), n - at
+                if left < size * self.n_jobs:
+                    size = look_ahead(left, self.n_jobs, at > 0)
+            size = min(size, n - at)
+            yield at, size
+            at += size
+
+    def _batched(self, function: Callable, df: DataFrame, schema: T.StructType) -> Iterator[Row]:
+        """Batches of consecutive places in the order of ``task_id``, so many at a time as ``ahead`` says.
+
+        The input is run once: rows are numbered by the order of ``task_id``, nulls first, and
+        written; a batch reads its range of places, other ranges are left out by their bounds.
+        """
         spark, tag = df.sparkSession, f"loomspan-{uuid.uuid4().hex}"
-        schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-        guarded = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in schema.fields), T.StructField(_ERROR, T.BinaryType())])
-        names, ordered, frames = schema.names, self.return_as != "generator_unordered", self.frames
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ordered, frames = self.return_as != "generator_unordered", self.frames
+        own = self._cut(df, "task_id")
+        table = written(numbered(own.select(F.struct("*").alias("row"), F.col("task_id").alias("id")), F.asc_nulls_first("id"), as_="place").select("place", "row"), "tasks")
+        n = table.count()
+        if self.max_bytes is not None and not self.backend.shares:
+            function = with_shared_arguments(spark, function, self.max_bytes)
+        apply = _applied(function, schema, frames, scope_for_tasks(self.backend), self._ready)
+        guarded = T.StructType([T.StructField("result", schema), T.StructField(_ERROR, T.BinaryType())])
+        result_kind = to_arrow_schema(guarded)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 try:
-                    out = function(batch)[names] if frames else pd.DataFrame.from_records([function(r) for r in batch.to_dict("records")], columns=names)
-                    yield out.assign(**{_ERROR: None})
+                    out = apply(batch)
+                    yield pa.RecordBatch.from_arrays([out.to_struct_array().cast(result_kind.field(0).type), pa.nulls(out.num_rows, pa.binary())], schema=result_kind)
                 except Exception as e:  # noqa: BLE001 - raised again by the caller with its own type
                     e.add_note("".join(traceback.format_exception(e)))
-                    yield pd.DataFrame([dict.fromkeys(names) | {_ERROR: _pickled(e)}])
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, result_kind.field(0).type), pa.array([_pickled(e)], pa.binary())], schema=result_kind)
                     return
 
-        if self.where is not None:
-            df = df.where(self.where)
-        if self.columns is not None:
-            df = df.select(*dict.fromkeys(["task_id", *self.columns]))
-        n, most = df.agg(F.count("*"), F.max("task_id")).first()
-        size = self.batch_size if isinstance(self.batch_size, int) else max(1, -(-(n or 1) // (4 * self.n_jobs)))
-        starts = list(range(0, (most or 0) + 1, size)) if n else []
+        def part(start: int, size: int) -> DataFrame:
+            return table.where((F.col("place") >= start) & (F.col("place") < start + size)).coalesce(1).sortWithinPartitions("place").select("row.*")
 
-        def job(start: int) -> list[Row]:
+        def job(start: int, size: int) -> list[Row]:
+            """On the executors."""
             spark.addTag(tag)
             try:
-                part = df.where((F.col("task_id") >= start) & (F.col("task_id") < start + size)).coalesce(1).sortWithinPartitions("task_id")
-                return part.mapInPandas(run, guarded).collect()
+                rows = part(start, size).mapInArrow(run, guarded).collect()
             finally:
                 spark.removeTag(tag)
-
-        began, done, unused = time.monotonic(), 0, 0
-        pool = ThreadPoolExecutor(self.n_jobs)
+            for r in rows:
+                if r[_ERROR] is not None:
+                    raise pickle.loads(r[_ERROR])
+            return [r["result"] for r in rows]
+
+        def here(start: int, size: int) -> list[Row]:
+            """On the driver, sharing its objects."""
+            batch = part(start, size).toArrow().combine_chunks().to_batches()
+            rows = [r for b in batch for r in rows_of(apply(b))]
+            return [Row(**{k: r[k] for k in schema.names}) for r in rows]
+
+        began, done, unused, finished = time.monotonic(), 0, 0, False
+        self._tuner = BatchTuner()
         waiting: dict = {}
-        queue, ahead = iter(starts), self.ahead() or len(starts)
-        finished = False
-        try:
-            for start in _take(queue, ahead):
-                waiting[pool.submit(job, start)] = start
-            while waiting:
-                first = min(waiting, key=waiting.get)
-                ready = wait([first] if ordered else list(waiting), timeout=self.timeout, return_when=FIRST_COMPLETED).done
-                if not ready:
-                    raise TimeoutError(f"no result within {self.timeout} s")
-                for f in ready:
-                    waiting.pop(f)
-                    for start in _take(queue, 1):
-                        waiting[pool.submit(job, start)] = start
-                    rows = f.result()
-                    for r in rows:
-                        if r[_ERROR] is not None:
-                            raise pickle.loads(r[_ERROR])
-                    done += 1
-                    if not is_silent(done, self.verbose):
-                        left = (time.monotonic() - began) / done * (len(starts) - done)
-                        print(f"{done} of {len(starts)} batches, {short_time(left)} left")
-                    unused = len(rows)
-                    for r in rows:
-                        unused -= 1
-                        yield Row(**{k: r[k] for k in names})
-            finished = True
-        finally:
-            if not finished:
-                if waiting or unused:
-                    spark.interruptTag(tag)
-                    computed = sum(f.done() and not f.cancelled() for f in waiting)
-                    warnings.warn(f"results were abandoned: {computed} batches computed for nothing, {len(waiting) - computed} cancelled", stacklevel=2)
-            pool.shutdown(wait=False, cancel_futures=True)
-            self._running.release()
+        with self._started(spark) as backend:
+            do = here if backend.shares else job
+            queue = self._sizes(n, backend)
+            out = sys.stdout if self.verbose >= 50 else sys.stderr
+
+            def timed(start: int, size: int) -> tuple[list[Row], int, float]:
+                t = time.monotonic()
+                return do(start, size), size, time.monotonic() - t
+
+            def dispatch(most: int | None) -> None:
+                for start, size in queue if most is None else _take(queue, most):
+                    waiting[backend.submit(functools.partial(timed, start, size))] = start
+
+            try:
+                one = isinstance(backend, SequentialBackend)
+                dispatch(1 if one else self.ahead())
+                while waiting:
+                    first = min(waiting, key=waiting.get)
+                    ready = wait([first] if ordered else list(waiting), timeout=None if one else self.timeout, return_when=FIRST_COMPLETED).done
+                    if not ready:
+                        raise TimeoutError(f"no result within {self.timeout} s")
+                    for f in ready:
+                        start = waiting.pop(f)
+                        rows, size, took = f.result()
+                        self._tuner.completed(size, took)
+                        done += size
+                        if not is_silent(done, self.verbose):
+                            print(f"{done} of {n} tasks, {short_time((time.monotonic() - began) / done * (n - done))} left", file=out)
+                        if not one:
+                            dispatch(1)
+                        unused = len(rows)
+                        for r in rows:
+                            unused -= 1
+                            yield r
+                        if one:  # a plain loop: nothing runs that isn't asked for
+                            dispatch(1)
+                finished = True
+            finally:
+                if not finished:
+                    backend.abort()
+                    if waiting or unused:
+                        spark.interruptTag(tag)
+                        computed = sum(f.done() and not f.cancelled() for f in waiting)
+                        warnings.warn(f"results were abandoned: {computed} batches computed for nothing, {len(waiting) - computed} cancelled", stacklevel=2)
+                    if self._held is not None:  # an aborted pool takes no more work
+                        self._held = started(self.backend, spark)
+                else:
+                    drop(table)
+                self._tuner.reset()
+                self._running.release()
 
 
 def run_calls(calls: Iterable[Call], n_jobs: int | None = -1, backend: str | Backend = "threads", ordered: bool = True, timeout: float | None = None) -> Iterator:

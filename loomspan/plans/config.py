@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import os
+import re
 import warnings
 from collections.abc import Callable, Iterator
 from concurrent.futures import Executor, Future, ThreadPoolExecutor
@@ -37,6 +39,10 @@ class Backend:
 
     def stop(self) -> None: ...
 
+    def batches(self) -> bool:
+        """Whether calls are worth batching; where objects are shared a call costs next to nothing."""
+        return not self.shares
+
     def nested(self) -> Backend:
         """What a call inside a task gets: Spark can't start jobs there, so it is done in place."""
         return SequentialBackend()
@@ -77,10 +83,18 @@ class ThreadBackend(Backend):
     stop = abort
 
 
-class ArrowBackend(Backend):
-    """Python workers of the executors, fed with Arrow batches."""
+class ArrowBackend(ThreadBackend):
+    """Python workers of the executors, fed with Arrow batches; a driver thread waits for each job."""
+
+    name, shares = "arrow", False
+
+
+class FallbackToBackend(Exception):
+    """Raised by a backend's ``start`` where it can't work; names the one to use instead."""
 
-    name = "arrow"
+    def __init__(self, backend: Backend):
+        super().__init__(f"use the backend {backend.name!r} instead")
+        self.backend = backend
 
 
 _BACKENDS: dict[str, Callable[..., Backend]] = {b.name: b for b in (SequentialBackend, ThreadBackend, ArrowBackend)}
@@ -94,10 +108,29 @@ def register_backend(name: str, factory: Callable[..., Backend], make_default: b
         DEFAULTS["backend"] = name
 
 
+#: Backends of other packages by name: what registers them, called when the name is first asked for.
+_EXTERNAL: dict[str, Callable[[], object]] = {}
+
+
+def register_external(name: str, register: Callable[[], object]) -> None:
+    _EXTERNAL[name] = register
+
+
+def started(backend: Backend, spark: SparkSession | None) -> Backend:
+    """The backend after its start, or the one that it falls back to."""
+    try:
+        backend.start(spark)
+        return backend
+    except FallbackToBackend as e:
+        return started(e.backend, spark)
+
+
 def make_backend(spec: str | Backend, **params) -> Backend:
     """A backend by name; one that isn't there is replaced by the default with a warning."""
     if isinstance(spec, Backend):
         return spec
+    if spec not in _BACKENDS and spec in _EXTERNAL:
+        _EXTERNAL.pop(spec)()
     if spec not in _BACKENDS:
         warnings.warn(f"backend {spec!r} isn't registered; using {ArrowBackend.name!r}", stacklevel=3)
         spec = ArrowBackend.name
@@ -131,6 +164,40 @@ def config(spark: SparkSession | None = None, spark_conf: dict[str, str] | None
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+@contextlib.contextmanager
+def carried(values: dict) -> Iterator[None]:
+    """A caller's scope, installed where its tasks run."""
+    token = _scope.set(values)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+
+
+def scope_for_tasks(backend: Backend) -> dict:
+    """The present scope as a task gets it: with the nested backend, by name, as objects don't travel."""
+    return {k: v for k, v in _scope.get().items() if isinstance(v, str | int | float | None)} | {"backend": backend.nested().name, "n_jobs": 1, "prefer": None, "require": None}
+
+
+class legacy_backend:  # noqa: N801 - used like a function
+    """Sets the default backend at once, until ``unregister`` or the end of its ``with``, which gives (backend, n_jobs)."""
+
+    def __init__(self, backend: str | Backend, n_jobs: int | None = -1, **params):
+        self._made, self._n_jobs = make_backend(backend, n_jobs=n_jobs, **params), n_jobs
+        self._token = _scope.set(_scope.get() | {"backend": self._made, "n_jobs": n_jobs})
+
+    def __enter__(self) -> tuple[Backend, int | None]:
+        return self._made, self._n_jobs
+
+    def __exit__(self, *_) -> None:
+        self.unregister()
+
+    def unregister(self) -> None:
+        if self._token is not None:
+            _scope.reset(self._token)
+            self._token = None
+
+
 def active_backend(prefer: str | None = None, require: str | None = None) -> Backend:
     """The scope's backend, or driver threads where memory must be shared and the backend can't."""
     prefer, require = prefer or setting("prefer"), require or setting("require")
@@ -146,12 +213,20 @@ def active_backend(prefer: str | None = None, require: str | None = None) -> Bac
     return chosen
 
 
-def cpu_count() -> int:
-    """Cores that Spark may use at once; this machine's where there is no session."""
+def cpu_count(only_physical: bool = False) -> int:
+    """Cores that Spark may use at once; this machine's where there is no session. Physical ones: two hyperthreads count once."""
     spark = SparkSession.getActiveSession()
-    import os
-
-    return spark.sparkContext.defaultParallelism if spark else os.cpu_count() or 1
+    n = spark.sparkContext.defaultParallelism if spark else os.cpu_count() or 1
+    if not only_physical:
+        return n
+    try:
+        with open("/proc/cpuinfo") as f:
+            told = [dict(x.split(":", 1) for x in re.sub(r"[ \t]*:[ \t]*", ":", block).splitlines() if ":" in x) for block in f.read().strip().split("\n\n")]
+        physical = len({(c["physical id"], c["core id"]) for c in told})
+    except (OSError, KeyError):
+        warnings.warn("physical cores can't be told here; all are counted", stacklevel=2)
+        return n
+    return max(1, round(n * physical / len(told)))
 
 
 def effective_n_jobs(n_jobs: int | None = -1, cpus: int | None = None) -> int:
@@ -172,4 +247,4 @@ def effective_n_jobs_col(n_jobs, cpus: int):
 def threads_per_worker(n_jobs: int, cpus: int | None = None) -> dict[str, str]:
     """Environment that keeps native libraries in workers from using more cores than their share."""
     n = str(max((cpus or cpu_count()) // n_jobs, 1))
-    return dict.fromkeys(("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS", "BLIS_NUM_THREADS", "VECLIB_MAXIMUM_THREADS", "NUMBA_NUM_THREADS", "NUMEXPR_NUM_THREADS"), n)
+    return {f"{library}_NUM_THREADS": n for library in ("BLIS", "MKL", "NUMBA", "NUMEXPR", "OMP", "OPENBLAS")} | {"VECLIB_MAXIMUM_THREADS": n}
