@@ -1,9 +1,11 @@
 """Content hashes: keys for look-ups, and digests that equal those of a pickled Python value.
 
-``content_key`` is any deterministic key over columns. The ``exact_*`` expressions build, in
+``content_key`` is a deterministic key over columns: the digest of a text that tells all values of
+a type apart, whatever the session's time zone, and doesn't depend on the order of a map. The ``exact_*`` expressions build, in
 Catalyst, the byte stream that Python's pickle protocol 3 writes for a value and hash it, so a
 digest made by Spark equals one made in Python for the same string, bytes, integer, boolean or
-null. Floats and containers need Python's bytes; they go through one Arrow UDF.
+null. For floats and vectors an Arrow function lays out their bytes, a batch at a time; the digest is
+Catalyst's too. Other containers are hashed in Python by ``value_digest``.
 """
 
 from __future__ import annotations
@@ -13,11 +15,11 @@ import struct
 from decimal import Decimal
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql import types as T
 
 ALGORITHMS = ("md5", "sha1")
 
@@ -28,10 +30,43 @@ def _digest(data: Column, algorithm: str) -> Column:
     return F.md5(data) if algorithm == "md5" else F.sha1(data)
 
 
-def content_key(*cols: Column | str, ignore: tuple[str, ...] = (), algorithm: str = "md5") -> Column:
-    """Key over named columns; nulls count, so (a, null, b) differs from (a, b)."""
-    used = [F.col(c) if isinstance(c, str) else c for c in cols if not (isinstance(c, str) and c in ignore)]
-    return _digest(F.to_json(F.struct(*used), {"ignoreNullFields": "false"}).cast("binary"), algorithm)
+def canonical(value: Column, kind: T.DataType) -> Column:
+    """Text that two values of a type share only if they are equal; every part says where it ends.
+
+    Instants count in microseconds since 1970, doubles by their shortest digits (so 0.0 and -0.0
+    differ, NaN equals NaN), maps by their sorted entries. TypeError for types without such a text.
+    """
+    none = F.lit("N;")
+    if isinstance(kind, T.NullType):
+        return none
+    if isinstance(kind, (T.StringType, T.CharType, T.VarcharType)):
+        out = F.concat(F.lit("S"), F.octet_length(value).cast("string"), F.lit(":"), value)
+    elif isinstance(kind, T.BinaryType):
+        out = F.concat(F.lit("B"), F.hex(value), F.lit(";"))
+    elif isinstance(kind, T.ArrayType):
+        each = F.transform(value, lambda x: canonical(x, kind.elementType))
+        out = F.concat(F.lit("["), F.array_join(each, ""), F.lit("]"))
+    elif isinstance(kind, T.MapType):
+        each = F.transform(F.map_entries(value), lambda x: F.concat(canonical(x["key"], kind.keyType), canonical(x["value"], kind.valueType)))
+        out = F.concat(F.lit("{"), F.array_join(F.array_sort(each), ""), F.lit("}"))
+    elif isinstance(kind, T.StructType):
+        out = F.concat(F.lit("("), *(canonical(value[f.name] if "." not in f.name else value.getField(f"`{f.name}`"), f.dataType) for f in kind.fields), F.lit(")"))
+    elif isinstance(kind, T.TimestampType):
+        out = F.concat(F.lit("U"), F.unix_micros(value).cast("string"), F.lit(";"))
+    elif isinstance(kind, T.DateType):
+        out = F.concat(F.lit("A"), F.unix_date(value).cast("string"), F.lit(";"))
+    elif isinstance(kind, (T.NumericType, T.BooleanType, T.TimestampNTZType, T.DayTimeIntervalType, T.YearMonthIntervalType)):
+        sign = "W" if isinstance(kind, T.TimestampNTZType) else "D" if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType) else "I"
+        out = F.concat(F.lit(sign), value.cast("string"), F.lit(";"))
+    else:
+        raise TypeError(f"no key for values of type {kind.simpleString()}")
+    return F.coalesce(out, none)
+
+
+def content_key(schema: T.StructType, *names: str, ignore: tuple[str, ...] = (), algorithm: str = "md5") -> Column:
+    """Key over named columns of a table; nulls count, so (a, null, b) differs from (a, b)."""
+    kinds = {f.name: f.dataType for f in schema.fields}
+    return _digest(F.concat(F.lit(""), *(canonical(F.col(f"`{c}`"), kinds[c]) for c in names if c not in ignore)).cast("binary"), algorithm)
 
 
 def _hex(text: str) -> Column:
@@ -175,22 +210,55 @@ def value_digest(value: object, algorithm: str = "md5") -> str:
     return hashlib.new(algorithm, b"\x80\x03" + b"".join(w.out) + b".").hexdigest()
 
 
-@pandas_udf(StringType())
-def exact_float(values: pd.Series) -> pd.Series:
-    return pd.Series([None if v is None else hashlib.md5(b"\x80\x03G" + struct.pack(">d", v) + b".").hexdigest() for v in values.tolist()])
-
-
-@pandas_udf(StringType())
-def exact_vector(values: pd.Series) -> pd.Series:
-    """Digest of an array column as a numpy array: type, shape, order and buffer."""
-    return pd.Series([None if v is None else value_digest(np.asarray(v)) for v in values])
-
-
-def set_key(items: Column, algorithm: str = "md5") -> Column:
-    """Key of an array's distinct members, whatever their order."""
-    return _digest(F.to_json(F.array_sort(F.array_distinct(items))).cast("binary"), algorithm)
-
-
-def map_key(entries: Column, algorithm: str = "md5") -> Column:
-    """Key of a map, whatever the order of its entries."""
-    return _digest(F.to_json(F.array_sort(F.map_entries(entries)), {"ignoreNullFields": "false"}).cast("binary"), algorithm)
+@F.arrow_udf(T.BinaryType())
+def _float_stream(values: pa.Array) -> pa.Array:
+    """The pickled stream of each double: marks, eight bytes, greatest first, and the end."""
+    raw = np.empty((len(values), 12), np.uint8)
+    raw[:, :3], raw[:, 11] = (0x80, 0x03, 0x47), 0x2E
+    raw[:, 3:11] = np.frombuffer(values.cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False).astype(">f8").tobytes(), np.uint8).reshape(-1, 8)
+    flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(12), len(values), [None, pa.py_buffer(raw.tobytes())]).cast(pa.binary())
+    return pc.if_else(values.is_valid(), flat, pa.scalar(None, pa.binary()))
+
+
+def exact_float(col: Column | str, algorithm: str = "md5") -> Column:
+    return _digest(_float_stream(col), algorithm)
+
+
+@F.arrow_udf(T.BinaryType())
+def _vector_stream(values: pa.Array) -> pa.Array:
+    """The stream of each array of numbers as a numpy array; null where a component is."""
+    kind = values.type.value_type.to_pandas_dtype()
+    name, width = str(np.dtype(kind)), np.dtype(kind).itemsize
+    out: list[bytes | None] = []
+    flat = values.values.fill_null(0).to_numpy(zero_copy_only=False).astype(kind)
+    holes, raw = np.cumsum(np.append(0, values.values.is_null().to_numpy(zero_copy_only=False))), memoryview(flat.tobytes())
+    bounds = values.offsets.to_numpy().tolist()
+    heads: dict[int, bytes] = {}
+    for i, there in enumerate(values.is_valid().to_pylist()):
+        a, b = bounds[i], bounds[i + 1]
+        if not there or holes[b] > holes[a]:
+            out.append(None)
+            continue
+        if b - a not in heads:
+            w = _Writer()
+            for part in (name, [b - a], "C"):
+                w.put(part)
+            n = width * (b - a)
+            heads[b - a] = b"\x80\x03\x93(" + b"".join(w.out) + (b"C" + bytes([n]) if n < 256 else b"B" + struct.pack("<I", n))
+        out.append(heads[b - a] + raw[width * a : width * b] + b"tq\x01.")
+    return pa.array(out, pa.binary())
+
+
+def exact_vector(col: Column | str, algorithm: str = "md5") -> Column:
+    """Digest of an array column as a numpy array: type, shape, order and buffer; null if a component is null."""
+    return _digest(_vector_stream(col), algorithm)
+
+
+def set_key(items: Column, kind: T.DataType, algorithm: str = "md5") -> Column:
+    """Key of an array's distinct members, of type ``kind``, whatever their order."""
+    return _digest(F.array_join(F.array_sort(F.array_distinct(F.transform(items, lambda x: canonical(x, kind)))), "").cast("binary"), algorithm)
+
+
+def map_key(entries: Column, kind: T.MapType, algorithm: str = "md5") -> Column:
+    """Key of a map, whatever the order of its entries; null for a null map."""
+    return F.when(entries.isNotNull(), _digest(canonical(entries, kind).cast("binary"), algorithm))

@@ -33,6 +33,13 @@ def size_bytes_col(text: Column) -> Column:
     return (value * F.when(unit == "K", 1024).when(unit == "M", 1024**2).when(unit == "G", 1024**3)).cast("long")
 
 
+def disk_used(spark, path: str) -> int:
+    """KiB below a path, on any file system that Spark reads; 0 where nothing is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return -(-files.getContentSummary(at).getLength() // 1024) if files.exists(at) else 0
+
+
 def long_time(seconds: float) -> str:
     return f"{seconds:.1f}s, {seconds / 60:.1f}min"
 
@@ -70,7 +77,8 @@ def remaining_time(elapsed: Column, done: Column, dispatched: Column) -> Column:
 
 def version_parts(text: str) -> list:
     """Numbers and words of a version, for comparison."""
-    return [int(p) if p.isdigit() else p for p in re.split(r"(\d+|[a-z]+|\.)", text) if p and p != "."]
+    found = re.finditer(r"(?P<number>[0-9]+)|[a-z]+|[^0-9a-z.]+", text)
+    return [int(m[0]) if m["number"] else m[0] for m in found]
 
 
 def version_less(a: str, b: str) -> bool:

@@ -71,8 +71,43 @@ def test_columns_equal_python(spark):
 
 def test_keys_tell_nulls_apart(spark):
     df = spark.createDataFrame([("a", None, "b"), ("a", "b", None)], "x string, y string, z string")
-    assert df.select(H.content_key("x", "y", "z").alias("k")).distinct().count() == 2
-    assert df.select(H.content_key("x", "y", "z", ignore=("y", "z")).alias("k")).distinct().count() == 1
+    assert df.select(H.content_key(df.schema, "x", "y", "z").alias("k")).distinct().count() == 2
+    assert df.select(H.content_key(df.schema, "x", "y", "z", ignore=("y", "z")).alias("k")).distinct().count() == 1
+
+
+KINDS = "t timestamp, n timestamp_ntz, d date, m map<string,array<double>>, b binary, f double, x decimal(20,3), a array<struct<p:string,q:int>>, s string, o boolean, i interval day to second"
+
+
+def test_keys_tell_all_values_apart(spark):
+    """One row a value; the same rows built twice, in other partitions, map orders and time zones, have the same keys."""
+    from datetime import date, datetime, timedelta
+    from decimal import Decimal
+
+    base = [datetime(2024, 1, 1, 0, 0, 0, 1), datetime(2024, 1, 1, 0, 0, 0, 1), date(2024, 1, 1), {"a": [1.0], "b": [2.0, None]}, b"\0", 0.1, Decimal("1.000"), [("p", 1)], "a", True, timedelta(seconds=1)]
+    other = [datetime(2024, 1, 1, 0, 0, 0, 2), datetime(2024, 1, 1, 0, 0, 0, 2), date(2024, 1, 2), {"a": [1.0], "b": [2.0]}, b"\1", 0.1 + 2**-55, Decimal("1.001"), [("p", None)], "aN;", None, timedelta(microseconds=1_000_001)]
+    rows = [tuple(base)] + [tuple(x if k == j else v for j, (v, x) in enumerate(zip(base, other, strict=True))) for k in range(len(base))]
+    rows += [tuple(None if k == j else v for j, v in enumerate(base)) for k in range(len(base))]
+    rows = list({repr(r): r for r in rows}.values())
+    keys = lambda df: [r.k for r in df.orderBy("z").select(H.content_key(df.schema, *df.columns[1:]).alias("k")).collect()]
+    df = spark.createDataFrame([(z, *r) for z, r in enumerate(rows)], "z int, " + KINDS)
+    want = keys(df)
+    assert len(set(want)) == len(rows)
+    turned = df.withColumn("m", F.map_from_entries(F.reverse(F.map_entries("m")))).repartition(7)
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert keys(turned) == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    pairs = spark.createDataFrame([("a", "S1:b"), ("aS1:", "b"), ("", "aS4:S1:b")], "p string, q string")
+    assert pairs.select(H.content_key(pairs.schema, "p", "q").alias("k")).distinct().count() == 3
+
+
+def test_vectors_equal_python(spark):
+    for kind, dtype in (("float", np.float32), ("double", np.float64), ("int", np.int32), ("bigint", np.int64)):
+        rows = [[1, 2, 3], [], None, list(range(300)), [-1], [1, None]]
+        df = spark.createDataFrame([(i, None if r is None else [None if x is None else dtype(x).item() for x in r]) for i, r in enumerate(rows)], f"i int, v array<{kind}>").repartition(2)
+        got = {r.i: r.k for r in df.select("i", H.exact_vector("v").alias("k")).collect()}
+        assert got == {i: None if r is None or None in r else H.value_digest(np.array(r, dtype)) for i, r in enumerate(rows)}, kind
 
 
 @pytest.mark.parametrize(("text", "value"), [("1 + 2", 3), ("2 * 4", 8), ("-3 ** 2", -9), ("7 // 2 % 2", 1), ("1/4", 0.25)])
@@ -97,7 +132,7 @@ def test_sizes_times_versions():
 
 
 def test_arguments():
-    def f(x, y=0, *args, z=1, **kw): ...
+    def f(x, y=0, *more, z=1, **named): ...
 
     assert I.bound_arguments(f, [], (1,)) == {"x": 1, "y": 0, "*": [], "z": 1, "**": {}}
     assert I.bound_arguments(f, ["y", "**"], (1, 2, 3), {"k": 4}) == {"x": 1, "*": [3], "z": 1}
