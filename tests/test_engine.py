@@ -247,6 +247,94 @@ def test_memo_ignores_expires_and_sees_new_code(spark, tmp_path):
     assert Memo(spark, f"file://{tmp_path}/m2", backend="mine").store
 
 
+def echo(r):
+    return {"seen": repr(r)}
+
+
+def test_memo_values_and_keys(spark, tmp_path):
+    """Microseconds, longs beside nulls, map order, and columns named like ours."""
+    log = tmp_path / "log"
+
+    def f(r):
+        with open(log, "a") as out:
+            out.write("x")
+        return {"us": r["t"].microsecond, "back": r["n"], "m_size": len(r["m"])}
+
+    memo = Memo(spark, f"file://{tmp_path}/memo")
+    rows = [(datetime(2024, 1, 1, 0, 0, 0, u), n, {"a": 1, "b": 2}, "KEEP", "KEEP") for u in (1, 2) for n in (2**53 + 1, None)]
+    df = spark.createDataFrame(rows, "t timestamp, n long, m map<string,int>, args_id string, row string").coalesce(1)
+    g = memo.cache(f, schema="us int, back long, m_size int")
+    out = g(df)
+    assert out.columns == [*df.columns, "us", "back", "m_size"]
+    got = out.collect()
+    assert sorted((r.us, r.back or 0) for r in got) == [(u, n) for u in (1, 2) for n in (0, 2**53 + 1)] and all(r.back == r.n and r.args_id == r.row == "KEEP" for r in got)
+    assert g(df.withColumn("m", F.map_from_entries(F.reverse(F.map_entries("m"))))).count() == 4 and runs(log) == 4
+    with pytest.raises(ValueError, match="same name"):
+        g(df.withColumn("us", F.lit(1)))
+
+
+def test_memo_survives_damage(spark, tmp_path):
+    log = tmp_path / "log"
+    memo = Memo(spark, f"file://{tmp_path}/memo")
+    f = memo.cache(counted(str(log)), schema="y long")
+    df = spark.createDataFrame([(i,) for i in range(20)], "x long")
+    f(df.where("x < 10")).count()
+    f(df).count()
+    assert runs(log) == 20
+    first = next((tmp_path / "memo" / "items").glob("*/*/*.parquet"))
+    first.write_bytes(b"PAR1 damaged" * 20)
+    for crc in first.parent.glob(".*.crc"):
+        crc.unlink()
+    with pytest.warns(UserWarning, match="computing them again"):
+        assert sorted(r.y for r in f(df).collect()) == [2 * i for i in range(20)]
+    assert 20 < runs(log) <= 40
+    n = runs(log)
+    assert f(df).count() == 20 and runs(log) == n
+    # a run without its commit isn't there
+    marker = next((tmp_path / "memo" / "functions").glob("*/runs/*.json"))
+    marker.unlink()
+    assert f(df).count() == 20 and runs(log) > n
+
+
+def test_memo_eviction_frees_bytes_and_runs_are_merged(spark, tmp_path):
+    memo = Memo(spark, f"file://{tmp_path}/memo")
+    f = memo.cache(echo, schema="seen string")
+    size = lambda: sum(p.stat().st_size for p in (tmp_path / "memo").rglob("*.parquet"))
+    for k in range(11):
+        f(spark.createDataFrame([(i, "z" * 50) for i in range(5 * k, 5 * k + 5)], "x long, pad string")).count()
+    live, old = __import__("loomspan.operators.memo", fromlist=["_runs"])._runs(memo.store, f.func_id)
+    assert len(live) <= 8 and old and memo.items().count() == 55
+    assert f(spark.createDataFrame([(i, "z" * 50) for i in range(55)], "x long, pad string")).count() == 55
+    before, items = size(), memo.items().agg(F.sum("size_bytes")).first()[0]
+    assert 0 < items <= before
+    assert memo.reduce_size(items_limit=5) == 50 and memo.items().count() == 5 and size() < before / 2
+    assert memo.reduce_size(items_limit=0) == 5 and memo.items().count() == 0
+    shelf = f.shelve(spark.createDataFrame([(1, "a")], "x long, pad string"))
+    from loomspan.operators.memo import Shelved  # noqa: F401 - what the handle's text names
+
+    assert eval(repr(shelf)).get().first().x == 1
+
+
+def test_texts_are_replaced_at_once(spark, tmp_path):
+    """A reader beside a writer sees the old text or the new one, never none."""
+    import threading
+
+    store, seen, stop = Store(spark, f"file://{tmp_path}/s"), set(), threading.Event()
+    store.write_text("a/b.json", "0" * 1000)
+
+    def read():
+        while not stop.is_set():
+            seen.add(store.read_text("a/b.json"))
+
+    t = threading.Thread(target=read)
+    t.start()
+    for i in range(1, 10):
+        store.write_text("a/b.json", str(i) * 1000)
+    stop.set()
+    t.join()
+    assert seen <= {str(i) * 1000 for i in range(10)} and store.names("a") == ["b.json"] and store.names("none") == []
+
+
 def test_codecs(spark, tmp_path):
     df = spark.createDataFrame([(1, "a", 1.5, [1, 2]), (2, None, None, [])], "i long, s string, f double, a array<long>")
     want = sorted(map(str, df.collect()))
