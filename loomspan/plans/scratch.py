@@ -1,7 +1,8 @@
 """Intermediate tables in the folder that all executors share.
 
 A plan whose lineage must be cut is written as Parquet below ``spark.checkpoint.dir`` and read
-back, so a lost executor costs a re-read and never a recomputation of what lies before.
+back, so a lost executor costs a re-read and never a recomputation of what lies before. What an
+operator doesn't drop as soon as nothing reads it goes with the session.
 """
 
 from __future__ import annotations
@@ -17,18 +18,32 @@ _SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder's URI. Only where the session names none (tests, a single machine) is one made."""
+    """The shared folder's URI. Only on a single machine, where the session names none, is one made."""
     base = spark.sparkContext.getConf().get(_SETTING) or spark.conf.get(_SETTING, None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"set {_SETTING} to a folder that all executors of {master} share")
         base = "file://" + tempfile.mkdtemp(prefix="loomspan-")
         spark.conf.set(_SETTING, base)
         atexit.register(lambda: __import__("shutil").rmtree(base[7:], ignore_errors=True))
     return base.rstrip("/")
 
 
+#: Folders that go when the session's JVM ends.
+_MARKED: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/loomspan-{_RUN}/{name}-{uuid.uuid4().hex[:12]}"
+    own = f"{shared_dir(spark)}/loomspan-{_RUN}"
+    if own not in _MARKED:
+        at = spark._jvm.org.apache.hadoop.fs.Path(own)
+        files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(at)
+        files.deleteOnExit(at)
+        _MARKED.add(own)
+    return f"{own}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:

@@ -13,17 +13,21 @@ import io
 import json
 import lzma
 import os
+import sys
 import uuid
 import warnings
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+#: Names by which the zlib codecs know their levels.
+_LEVELS = ("NO_COMPRESSION", "BEST_SPEED", "TWO", "THREE", "FOUR", "FIVE", "SIX", "SEVEN", "EIGHT", "BEST_COMPRESSION")
 NOT_COMPRESSED, COMPATIBLE = "not-compressed", "compat"
 DEFAULT_LEVEL = 3
 
@@ -138,10 +142,49 @@ def sniffed(head: Column) -> Column:
     return out.otherwise(NOT_COMPRESSED)
 
 
+#: The longest prefix that tells a codec.
+HEAD_BYTES = 6
+
+
+def _files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(URI, length) of the data files below ``path``."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found, it = [], at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True)
+    while it.hasNext():
+        f = it.next()
+        if not f.getPath().getName().startswith(("_", ".")):
+            found.append((f.getPath().toString(), f.getLen()))
+    return found
+
+
 def detect_codec(spark: SparkSession, path: str) -> DataFrame:
-    """path, codec and length of every file below ``path``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", sniffed(F.substring("content", 1, 5)).alias("codec"), "length")
+    """path, codec and length of every data file below ``path``; only their first bytes are read."""
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            out = []
+            for name in batch["path"].to_pylist():
+                files, at = fs.FileSystem.from_uri(name if "://" in name else name.replace("file:/", "file:///", 1))
+                with files.open_input_file(at) as f:
+                    out.append(f.read(HEAD_BYTES))
+            yield pa.RecordBatch.from_arrays([batch["path"], pa.array(out, pa.binary()), batch["length"]], ["path", "head", "length"])
+
+    found = _files(spark, path)
+    tasks = max(1, min(len(found), 4 * spark.sparkContext.defaultParallelism))
+    files = spark.createDataFrame(found, "path string, length long").repartition(tasks)
+    return files.mapInArrow(heads, "path string, head binary, length long").select("path", sniffed(F.col("head")).alias("codec"), "length")
+
+
+def native_order(data: Column, width: int, byte_order: str) -> Column:
+    """Bytes of numbers of ``width`` bytes in this machine's order; ``byte_order`` is "little" or "big", what they are in."""
+    if byte_order == sys.byteorder or width == 1:
+        return data
+    digits = F.hex(data)
+    numbers = F.sequence(F.lit(0), (F.octet_length(data) / width).cast("int") - 1)
+    turned = F.transform(numbers, lambda k: F.concat(*(F.substr(digits, k * (2 * width) + (2 * j + 1), F.lit(2)) for j in reversed(range(width)))))
+    return F.when(F.octet_length(data) > 0, F.unhex(F.array_join(turned, ""))).otherwise(data)
 
 
 def dump(df: DataFrame, path: str, compress: bool | int | str | tuple = 0, mode: str = "error") -> list[str]:
@@ -152,20 +195,26 @@ def dump(df: DataFrame, path: str, compress: bool | int | str | tuple = 0, mode:
     if name is None:
         df.write.mode(mode).parquet(path)
     elif _CODECS[name].spark:
-        spark = df.sparkSession
-        keys = {"zlib": "zlib.compress.level", "gzip": "zlib.compress.level"}
-        df.write.mode(mode).option("compression", _CODECS[name].spark).option("ignoreNullFields", "false").json(path)
-        if name in keys and level != DEFAULT_LEVEL and spark.conf.get(keys[name], None) is None:
-            warnings.warn(f"the level of {name} is the cluster's setting {keys[name]}", stacklevel=2)
+        writer = df.write.mode(mode).option("compression", _CODECS[name].spark).option("ignoreNullFields", "false")
+        # options of a writer reach the codecs' own configuration
+        writer.option("zlib.compress.level", _LEVELS[level]).option("bzip2.compress.blocksize", max(1, level)).json(path)
     else:
         df.sparkSession.dataSource.register(CodecSource)
         df.write.format(CodecSource.name()).mode("append" if mode in ("error", "append") else mode).option("codec", name).option("level", level).option("path", path).save()
     return [path]
 
 
-def load(spark: SparkSession, path: str, schema: str | T.StructType | None = None, cached: bool = False) -> DataFrame:
-    """A table written by ``dump``. The files' first bytes say how; JSON lines need a schema or are inferred."""
-    kinds = [r.codec for r in detect_codec(spark, path).where("path not like '%/_SUCCESS' and path not like '%.crc'").select("codec").distinct().limit(len(_CODECS) + 2).collect()]
+def load(spark: SparkSession, path: str, schema: str | T.StructType | None = None, cached: bool = False, mmap_mode: str | None = None, ensure_native_byte_order: bool | str = "auto") -> DataFrame:
+    """A table written by ``dump``. The files' first bytes say how; JSON lines need a schema or are inferred.
+
+    A torn or damaged file is an error, never null rows. Columns are always in this machine's byte
+    order; tables aren't mapped into memory, so ``mmap_mode`` only warns.
+    """
+    if mmap_mode is not None and ensure_native_byte_order is True:
+        raise ValueError("a mapped file can't be turned into this machine's byte order; ask for one of the two")
+    if mmap_mode is not None:
+        warnings.warn("tables aren't mapped into memory; they are read", stacklevel=2)
+    kinds = [r.codec for r in detect_codec(spark, path).select("codec").distinct().limit(len(_CODECS) + 2).collect()]
     if not kinds:
         raise FileNotFoundError(f"no files below {path}")
     if len(kinds) > 1:
@@ -176,8 +225,8 @@ def load(spark: SparkSession, path: str, schema: str | T.StructType | None = Non
     if kind == NOT_COMPRESSED:
         df = spark.read.parquet(path)
     elif _CODECS[kind].spark:
-        reader = spark.read.schema(schema) if schema is not None else spark.read
-        df = reader.json(path)
+        reader = spark.read.option("mode", "FAILFAST")
+        df = (reader.schema(schema) if schema is not None else reader).json(path)
     else:
         if schema is None:
             raise ValueError(f"a schema is needed to read {kind}")

@@ -344,7 +344,7 @@ def test_codecs(spark, tmp_path):
         back = P.load(spark, path, df.schema)
         assert sorted(map(str, back.collect())) == want, compress
     P.dump(df, f"{tmp_path}/byname.xz")
-    assert {r.codec for r in P.detect_codec(spark, f"{tmp_path}/byname.xz").collect() if "_SUCCESS" not in r.path} == {"xz"}
+    assert {r.codec for r in P.detect_codec(spark, f"{tmp_path}/byname.xz").collect()} == {"xz"}
     for bad in ((1, 2, 3), ("gzip", 10), "nothing", 11, ("gzip", "3")):
         with pytest.raises(ValueError):
             P.parse_compress(bad)
@@ -358,6 +358,177 @@ def test_codecs(spark, tmp_path):
     P.register_codec("xz", P._CODECS["xz"], force=True)
 
 
+def test_levels_torn_files_and_byte_order(spark, tmp_path):
+    df = spark.range(60_000).select(F.md5(F.col("id").cast("string")).alias("s"), "id").coalesce(1)
+    for codec in ("gzip", "zlib"):
+        size = {}
+        for level in (1, 9):
+            P.dump(df, f"{tmp_path}/{codec}{level}", (codec, level))
+            size[level] = sum(p.stat().st_size for p in (tmp_path / f"{codec}{level}").glob("part*"))
+        assert size[9] < size[1], codec
+    (part,) = (tmp_path / "gzip9").glob("part*")
+    import gzip
+
+    part.write_bytes(gzip.compress(gzip.decompress(part.read_bytes())[:-20]))
+    for crc in part.parent.glob(".*.crc"):
+        crc.unlink()
+    with pytest.raises(Exception, match="(?i)malformed|FAILFAST"):
+        P.load(spark, f"{tmp_path}/gzip9", df.schema).collect()
+    with pytest.raises(ValueError, match="byte order"):
+        P.load(spark, f"{tmp_path}/gzip1", df.schema, mmap_mode="r", ensure_native_byte_order=True)
+    with pytest.warns(UserWarning, match="mapped"):
+        assert P.load(spark, f"{tmp_path}/gzip1", df.schema, mmap_mode="r").count() == 60_000
+    import struct
+    import sys
+
+    other = {"little": ">", "big": "<"}[sys.byteorder]
+    row = spark.createDataFrame([(struct.pack(f"{other}3i", 1, -2, 3), b"")], "b binary, e binary")
+    big = {"<": "little", ">": "big"}[other]
+    got = row.select(P.native_order(F.col("b"), 4, big).alias("b"), P.native_order(F.col("e"), 4, big).alias("e"), P.native_order(F.col("b"), 4, sys.byteorder).alias("s")).first()
+    assert struct.unpack("=3i", bytes(got.b)) == (1, -2, 3) and bytes(got.e) == b"" and bytes(got.s) == bytes(row.first().b)
+
+
+def test_no_machine_local_scratch_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from loomspan.plans import scratch
+
+    own = lambda master: SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: {}, master=master), conf=SimpleNamespace(get=lambda *a: None))
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1000]"):
+        with pytest.raises(ValueError, match="share"):
+            scratch.shared_dir(own(master))
+
+
+def test_logs(spark, tmp_path, caplog):
+    from loomspan.functions.scalars import disk_used
+    from loomspan.plans.logs import Logger, PrintTime
+
+    log = Logger(name="loom")
+    log.warn("said")
+    assert "said" in caplog.text and "[...]" in log.format([[[[[1]]]]])
+    for k in range(3):
+        PrintTime(str(tmp_path / "t.log"))(f"step {k}", total=k > 1)
+    assert [(tmp_path / n).read_text()[:6] for n in ("t.log", "t.log.1", "t.log.2")] == ["step 2", "step 1", "step 0"]
+    assert disk_used(spark, f"file://{tmp_path}") >= 1 and disk_used(spark, f"file://{tmp_path}/none") == 0
+
+
+def whole_numbers(r):
+    return {"task_id": r["task_id"], "y": r["n"]}
+
+
+def test_list_modes_lose_nothing(spark):
+    """Nulls, negative, far apart and repeated ids; longs beside nulls; one scan."""
+    rows = [(i, n) for i, n in zip([-1, 0, None, 3, 3, 2**40, None], [2**53 + 1, None, 1, 2, 2, 3, 4], strict=True)]
+    df = spark.createDataFrame(rows, "task_id long, n long")
+    for mode in ("frame", "list", "generator", "generator_unordered"):
+        for batch in (1, 3, "auto"):
+            got = MapEngine(return_as=mode, batch_size=batch, n_jobs=3)(whole_numbers, df, "task_id long, y long")
+            found = [(r.task_id, r.y) for r in (got.collect() if mode == "frame" else got)]
+            assert sorted(map(str, found)) == sorted(map(str, rows)), (mode, batch)
+            if mode in ("list", "generator"):
+                assert [i for i, _ in found] == sorted([i for i, _ in rows], key=lambda i: (i is not None, i or 0))
+    ids = spark.range(100).repartition(6).select(F.monotonically_increasing_id().alias("task_id"), F.col("id").alias("n"))
+    assert sorted(r.y for r in MapEngine(return_as="list")(whole_numbers, ids, "task_id long, y long")) == list(range(100))
+    frames = MapEngine(frames=True)(lambda p: p.rename(columns={"n": "y"}), df, "task_id long, y long").collect()
+    assert sorted(map(str, ((r.task_id, r.y) for r in frames))) == sorted(map(str, rows))
+
+
+def test_auto_batches_grow(spark):
+    """Quick tasks: batches double while they are short, and all places are covered once."""
+    e = MapEngine(return_as="list", n_jobs=4)
+    sizes = []
+    real = e._sizes
+    e._sizes = lambda n, b: (sizes.append(x[1]) or x for x in real(n, b))
+    assert [r.y for r in e(square, tasks(spark, range(3000), "x long"), SQUARE)] == [i * i for i in range(3000)]
+    assert sizes[0] == 1 and max(sizes) >= 8 and sum(sizes) == 3000
+    one = MapEngine(return_as="list", backend="threads", n_jobs=2)
+    sizes.clear()
+    real = one._sizes
+    one._sizes = lambda n, b: (sizes.append(x[1]) or x for x in real(n, b))
+    assert len(one(square, tasks(spark, range(5), "x long"), SQUARE)) == 5 and sizes == [1] * 5
+
+
+class Counting(C.ThreadBackend):
+    name = "counting"
+    made: list = []
+
+    def start(self, spark):
+        super().start(spark)
+        Counting.made.append("start")
+
+    def submit(self, call):
+        Counting.made.append("call")
+        return super().submit(call)
+
+
+def test_backends_run_the_batches(spark):
+    seen = []
+
+    def here(r):
+        seen.append(r["x"])
+        return square(r)
+
+    df = tasks(spark, range(6), "x long")
+    C.register_backend("counting", Counting)
+    with MapEngine(return_as="list", backend="counting", batch_size=2) as e:
+        assert len(e(here, df, SQUARE)) == len(e(here, df, SQUARE)) == 6
+    assert Counting.made == ["start", *["call"] * 6] and sorted(seen) == sorted([*range(6)] * 2)
+    for how in ({"require": "shared"}, {"prefer": "threads"}, {"n_jobs": 1}):
+        seen.clear()
+        assert [r.y for r in MapEngine(return_as="list", **how)(here, df, SQUARE)] == [i * i for i in range(6)] and sorted(seen) == list(range(6)), how
+    seen.clear()
+    g = MapEngine(return_as="generator", n_jobs=1, timeout=0.0)(here, df, SQUARE)
+    assert next(g).y == 0 and seen == [0] and len(list(g)) == 5
+    assert MapEngine(return_as="list")(square, df, SQUARE) and seen == list(range(6))
+
+    class Falls(C.ArrowBackend):
+        def start(self, spark):
+            raise C.FallbackToBackend(C.SequentialBackend())
+
+    seen.clear()
+    assert len(MapEngine(return_as="list", backend=Falls())(here, df, SQUARE)) == 6 == len(seen)
+    C.register_external("elsewhere", lambda: C.register_backend("elsewhere", C.ThreadBackend))
+    assert C.make_backend("elsewhere").name == "threads"
+    with C.legacy_backend("threads", n_jobs=3) as (b, n):
+        assert b.name == "threads" and n == 3 and C.active_backend() is b and MapEngine(return_as="list").n_jobs == 3
+    assert C.active_backend().name == "arrow" and 1 <= C.cpu_count(only_physical=True) <= 4
+
+
+def test_scope_initialiser_and_shared_arguments(spark, tmp_path):
+    import functools
+
+    import numpy as np
+
+    from loomspan.plans import sharing
+
+    def told(r):
+        return {"task_id": r["task_id"], "v": C.setting("verbose"), "b": str(C.setting("backend"))}
+
+    df = tasks(spark, range(4), "x long")
+    with C.config(verbose=7):
+        rows = MapEngine(verbose=0)(told, df, "task_id long, v int, b string").collect()
+    assert {(r.v, r.b) for r in rows} == {(7, "sequential")}
+    MapEngine(initializer=lambda p: open(p, "a").write("x"), initargs=(str(tmp_path / "init"),))(square, df.repartition(4), SQUARE).collect()
+    assert 1 <= len((tmp_path / "init").read_text()) <= 8
+    big, small = np.arange(300_000, dtype=np.int64), np.arange(100)
+
+    def look(big, small, r):
+        return {"task_id": r["task_id"], "y": int(big[r["x"]] + small[r["x"]] + len(big))}
+
+    sharing._SHARED.clear()
+    for mode in ("frame", "list"):
+        out = MapEngine(return_as=mode)(functools.partial(look, big, small), df, SQUARE)
+        assert sorted(r.y for r in (out.collect() if mode == "frame" else out)) == [300_000 + 2 * i for i in range(4)]
+    assert len(sharing._SHARED) == 1 and sharing.is_shared(spark, big) and not sharing.is_shared(spark, small)
+    a, b, c = sharing.scatter(spark, [big, small, big])
+    assert a is c and a.path and b.broadcast is not None and (a.value == big).all() and (b.value == small).all()
+    assert not sharing.worth_sharing(np.array([None] * 1000, object), 10)
+    import random
+
+    once = MapEngine(deterministic=False)(lambda r: {"task_id": r["task_id"], "y": random.getrandbits(60)}, df, SQUARE)
+    assert sorted(once.collect()) == sorted(once.collect())
+
+
 def test_numbers_and_components(spark):
     df = spark.createDataFrame([(i * 37 % 101, i) for i in range(100)], "k long, v long").repartition(4)
     rows = numbered(df, "k", sum_of="v").orderBy("k").collect()
