@@ -40,7 +40,7 @@ from loomspan.plans.scratch import drop, written
 from loomspan.plans.sharing import with_shared_arguments
 
 DELIVERY = ("frame", "list", "generator", "generator_unordered")
-_ERROR = "__loomspan_error"
+_ERROR, _TOOK = "__loomspan_error", "__loomspan_seconds"
 
 
 @dataclass(frozen=True)
@@ -225,24 +225,26 @@ class MapEngine:
         if self.max_bytes is not None and not self.backend.shares:
             function = with_shared_arguments(spark, function, self.max_bytes)
         apply = _applied(function, schema, frames, scope_for_tasks(self.backend), self._ready)
-        guarded = T.StructType([T.StructField("result", schema), T.StructField(_ERROR, T.BinaryType())])
+        guarded = T.StructType([T.StructField("result", schema), T.StructField(_ERROR, T.BinaryType()), T.StructField(_TOOK, T.DoubleType())])
         result_kind = to_arrow_schema(guarded)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
+                t = time.monotonic()
                 try:
                     out = apply(batch)
-                    yield pa.RecordBatch.from_arrays([out.to_struct_array().cast(result_kind.field(0).type), pa.nulls(out.num_rows, pa.binary())], schema=result_kind)
+                    took = pa.array([time.monotonic() - t, *[None] * (out.num_rows - 1)][: out.num_rows], pa.float64())
+                    yield pa.RecordBatch.from_arrays([out.to_struct_array().cast(result_kind.field(0).type), pa.nulls(out.num_rows, pa.binary()), took], schema=result_kind)
                 except Exception as e:  # noqa: BLE001 - raised again by the caller with its own type
                     e.add_note("".join(traceback.format_exception(e)))
-                    yield pa.RecordBatch.from_arrays([pa.nulls(1, result_kind.field(0).type), pa.array([_pickled(e)], pa.binary())], schema=result_kind)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, result_kind.field(0).type), pa.array([_pickled(e)], pa.binary()), pa.nulls(1, pa.float64())], schema=result_kind)
                     return
 
         def part(start: int, size: int) -> DataFrame:
             return table.where((F.col("place") >= start) & (F.col("place") < start + size)).coalesce(1).sortWithinPartitions("place").select("row.*")
 
-        def job(start: int, size: int) -> list[Row]:
-            """On the executors."""
+        def job(start: int, size: int) -> tuple[list[Row], float]:
+            """On the executors; the results and the seconds that the function took, without the job's own."""
             spark.addTag(tag)
             try:
                 rows = part(start, size).mapInArrow(run, guarded).collect()
@@ -251,13 +253,13 @@ class MapEngine:
             for r in rows:
                 if r[_ERROR] is not None:
                     raise pickle.loads(r[_ERROR])
-            return [r["result"] for r in rows]
+            return [r["result"] for r in rows], sum(r[_TOOK] or 0.0 for r in rows)
 
-        def here(start: int, size: int) -> list[Row]:
+        def here(start: int, size: int) -> tuple[list[Row], float]:
             """On the driver, sharing its objects."""
-            batch = part(start, size).toArrow().combine_chunks().to_batches()
-            rows = [r for b in batch for r in rows_of(apply(b))]
-            return [Row(**{k: r[k] for k in schema.names}) for r in rows]
+            batches, t = part(start, size).toArrow().to_batches(), time.monotonic()
+            rows = [r for b in batches for r in rows_of(apply(b))]
+            return [Row(**{k: r[k] for k in schema.names}) for r in rows], time.monotonic() - t
 
         began, done, unused, finished = time.monotonic(), 0, 0, False
         self._tuner = BatchTuner()
@@ -267,9 +269,8 @@ class MapEngine:
             queue = self._sizes(n, backend)
             out = sys.stdout if self.verbose >= 50 else sys.stderr
 
-            def timed(start: int, size: int) -> tuple[list[Row], int, float]:
-                t = time.monotonic()
-                return do(start, size), size, time.monotonic() - t
+            def timed(start: int, size: int) -> tuple[list[Row], float, int]:
+                return *do(start, size), size
 
             def dispatch(most: int | None) -> None:
                 for start, size in queue if most is None else _take(queue, most):
@@ -285,8 +286,8 @@ class MapEngine:
                         raise TimeoutError(f"no result within {self.timeout} s")
                     for f in ready:
                         start = waiting.pop(f)
-                        rows, size, took = f.result()
-                        self._tuner.completed(size, took)
+                        rows, took, size = f.result()
+                        self._tuner.completed(size, max(took, 1e-9))
                         done += size
                         if not is_silent(done, self.verbose):
                             print(f"{done} of {n} tasks, {short_time((time.monotonic() - began) / done * (n - done))} left", file=out)

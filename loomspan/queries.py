@@ -6,23 +6,30 @@ decimals, counts are longs.
 
 from __future__ import annotations
 
+import functools
+import math
+import warnings
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomspan.functions import hashing as H
 from loomspan.functions import scalars as S
+from loomspan.functions.inspection import bound_arguments
 from loomspan.operators import batching as B
 from loomspan.operators.eviction import items_to_delete
 from loomspan.operators.mapper import MapEngine, seeded
-from loomspan.operators.memo import compute_once
+from loomspan.operators.memo import Memo, compute_once, expires_after
 from loomspan.plans.config import effective_n_jobs_col
 from loomspan.plans.numbering import numbered
 from loomspan.plans.workloads import grid, shared_by_size, slice_means
-from loomspan.sources.persist import codec_col, sniffed
+from loomspan.plans.scratch import scratch_path
+from loomspan.sources.persist import codec_col, detect_codec, dump, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -45,15 +52,7 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _values(spark: SparkSession, column: str, values: list, kind: str) -> DataFrame:
-    return spark.createDataFrame([(v,) for v in values], f"{column} {kind}")
-
-
-def _list(column: str, values: list) -> str:
-    return f"(values {', '.join(f'({v!r})' if v is not None else '(null)' for v in values)}) t({column})"
-
-
-# --- map -----------------------------------------------------------------------------------------
+# --- map
 @query("select event_id as task_id, value * value as y from events where value > 100")
 def map_squares(spark, d):
     events = _t(spark, d, "events").select(F.col("event_id").alias("task_id"), "value")
@@ -72,14 +71,15 @@ def map_mixed_functions(spark, d):
 @query("select event_id as task_id, floor(value)::bigint as whole, round(value - floor(value), 6) as rest from events")
 def map_multi_value(spark, d):
     e = _t(spark, d, "events").select(F.col("event_id").alias("task_id"), "value")
-    pair = F.struct(F.floor("value").cast("long").alias("whole"), F.round(F.col("value") - F.floor("value"), 6).alias("rest"))
-    return e.select("task_id", pair.alias("r")).select("task_id", "r.*")
+    parts = lambda r: {"task_id": r["task_id"], "whole": math.floor(r["value"]), "rest": round(r["value"] - math.floor(r["value"]), 6)}
+    return MapEngine()(parts, e, "task_id long, whole long, rest double")
 
 
 @query("select user_id, count(*) as n_parts from (select user_id, unnest(range(0, (event_id % 3 + 1)::bigint)) as part from events) group by user_id")
 def map_one_to_many(spark, d):
-    parts = F.sequence(F.lit(0).cast("long"), F.col("event_id") % 3)
-    return _t(spark, d, "events").select("user_id", F.explode(parts).alias("part")).groupBy("user_id").agg(F.count("*").alias("n_parts"))
+    e = _t(spark, d, "events").select("user_id", "event_id")
+    several = lambda df: df.loc[df.index.repeat(df["event_id"] % 3 + 1), ["user_id"]]
+    return MapEngine(frames=True)(several, e, "user_id long").groupBy("user_id").agg(F.count("*").alias("n_parts"))
 
 
 @query(None)
@@ -88,7 +88,7 @@ def map_seeded(spark, d):
     return _t(spark, d, "events").select(F.col("event_id").alias("task_id"), (F.pmod(seeded(7, "event_id"), F.lit(1_000_000)) / 1_000_000).alias("draw"))
 
 
-# --- workloads -----------------------------------------------------------------------------------
+# --- workloads
 @query("""
 with n as (select row_number() over (order by event_id) - 1 as i, value from events),
 s as (select unnest(range(0, (select (count(*) - 501) // 100 + 1 from events))) as slice)
@@ -101,8 +101,39 @@ def slice_mean(spark, d):
 
 @query("select l_returnflag, sum(l_extendedprice::decimal(18,2))::decimal(28,2) as total, count(*) as n from lineitem group by l_returnflag")
 def stream_fold(spark, d):
-    df = _t(spark, d, "lineitem").select("l_returnflag", F.col("l_extendedprice").cast("decimal(18,2)").alias("v"))
-    return df.groupBy("l_returnflag").agg(F.sum("v").cast("decimal(28,2)").alias("total"), F.count("*").alias("n"))
+    """Each batch is folded where it is; the folds' sums meet in one shuffle of few rows."""
+    df = _t(spark, d, "lineitem").select("l_returnflag", "l_extendedprice")
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        cents = (rows["l_extendedprice"] * 100).round().astype("int64")
+        return cents.groupby(rows["l_returnflag"]).agg(cents="sum", n="count").reset_index()
+
+    folds = MapEngine(frames=True)(fold, df, "l_returnflag string, cents long, n long")
+    return folds.groupBy("l_returnflag").agg((F.sum(F.col("cents").cast("decimal(26,0)")) / 100).cast("decimal(28,2)").alias("total"), F.sum("n").alias("n"))
+
+
+@query("select event_id as task_id, value + 1 as y from events")
+def map_list_all_ids(spark, d):
+    """The list mode over ids that are neither dense nor in order; its rows as a table again."""
+    e = _t(spark, d, "events").select((F.col("event_id") * 1_000_003 - 5_000_000).alias("task_id"), "event_id", "value")
+    rows = MapEngine(return_as="list", batch_size=2500)(lambda r: {"task_id": r["event_id"], "y": r["value"] + 1}, e, "task_id long, y double")
+    return spark.createDataFrame(rows, "task_id long, y double")
+
+
+@query("select l_orderkey * 8 + l_linenumber as task_id, l_quantity::bigint as y from lineitem")
+def map_auto_batches(spark, d):
+    """The unordered iterator with batches that the tuner makes."""
+    e = _t(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("task_id"), F.col("l_quantity").cast("long").alias("y"))
+    rows = list(MapEngine(return_as="generator_unordered")(dict, e, "task_id long, y long"))
+    return spark.createDataFrame(rows, "task_id long, y long")
+
+
+@query("select o_orderkey as task_id, ((o_orderkey % 1000) * (o_orderkey % 1000))::bigint as y from orders")
+def map_shared_argument(spark, d):
+    """A large argument that is sent once and looked up by every task."""
+    table = np.arange(1000, dtype=np.int64) ** 2
+    look = lambda table, df: pd.DataFrame({"task_id": df["o_orderkey"], "y": table[df["o_orderkey"] % 1000]})
+    return MapEngine(frames=True, max_bytes="1K")(functools.partial(look, table), _t(spark, d, "orders").select("o_orderkey"), "task_id long, y long")
 
 
 @query("""
@@ -119,17 +150,18 @@ def share_by_size(spark, d):
     return docs.withColumn("shared", shared_by_size(F.col("n_bytes"), F.lit(False), 2048))
 
 
-# --- batches, progress ---------------------------------------------------------------------------
+# --- batches, progress
 @query("select event_id, (row_number() over (order by event_id) - 1) // 64 as batch from events")
 def batch_fixed(spark, d):
     events = numbered(_t(spark, d, "events").select("event_id"), "event_id")
     return events.select("event_id", B.batch_number(F.col("position") + 1, 64).alias("batch"))
 
 
-@query(f"select n, greatest(1, n // 4) as piece, greatest(1, n // 40) as last_piece from (select unnest(range(0, 290, 10))::bigint as n) t")  # noqa: F541
+@query("select user_id, n, greatest(1, n // 4) as piece, greatest(1, n // 40) as last_piece from (select user_id, count(*) as n from events group by user_id)")
 def batch_lookahead(spark, d):
     n = F.col("n")
-    return spark.range(0, 290, 10).select(F.col("id").alias("n")).select("n", B.look_ahead_col(n, 4, False).alias("piece"), B.look_ahead_col(n, 4, True).alias("last_piece"))
+    pulled = _t(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"))
+    return pulled.select("user_id", "n", B.look_ahead_col(n, 4, False).alias("piece"), B.look_ahead_col(n, 4, True).alias("last_piece"))
 
 
 def _durations(spark, d) -> DataFrame:
@@ -170,46 +202,40 @@ def progress_visible(spark, d):
     return n.where(~S.is_silent_col(F.col("task_index"), 5))
 
 
-@query("select event_id, round(value / greatest(event_id, 1) * (10000 - event_id), 6) as eta from events")
+@query("select event_id, round(value / greatest(event_id, 1) * ((select count(*) from events) - event_id), 6) as eta from events")
 def progress_eta(spark, d):
-    return _t(spark, d, "events").select("event_id", F.round(S.remaining_time(F.col("value"), F.col("event_id"), F.lit(10000)), 6).alias("eta"))
-
-
-_JOBS = [None, 1, 4, -1, -2, -100]
+    events = _t(spark, d, "events")
+    return events.select("event_id", F.round(S.remaining_time(F.col("value"), F.col("event_id"), F.lit(events.count())), 6).alias("eta"))
 
 
-@query(f"select n_jobs::int as n_jobs, case when n_jobs is null then 1 when n_jobs > 0 then n_jobs else greatest(9 + n_jobs, 1) end::int as jobs from {_list('n_jobs', _JOBS)}")
+@query("""
+select n_nationkey, case when n_nationkey = 12 then 1 when n_nationkey > 12 then n_nationkey - 12 else greatest(n_nationkey - 3, 1) end::int as jobs from nation""")
 def effective_jobs(spark, d):
-    return _values(spark, "n_jobs", _JOBS, "int").select("n_jobs", effective_n_jobs_col(F.col("n_jobs"), 8).cast("int").alias("jobs"))
+    jobs = F.when(F.col("n_nationkey") != 12, F.col("n_nationkey") - 12)
+    return _t(spark, d, "nation").select("n_nationkey", effective_n_jobs_col(jobs, 8).cast("int").alias("jobs"))
 
 
-_SIZES = ["10G", "500M", "50K", "1.5K"]
-
-
-@query(f"select t as size_text, (left(t, length(t) - 1)::double * case right(t, 1) when 'K' then 1024 when 'M' then 1048576 else 1073741824 end)::bigint as n_bytes from {_list('t', _SIZES)}")
+@query("""
+select p_partkey, (p_size / 2.0 * case p_partkey % 3 when 0 then 1024 when 1 then 1048576 else 1073741824 end)::bigint as n_bytes from part""")
 def size_text(spark, d):
-    return _values(spark, "size_text", _SIZES, "string").select("size_text", S.size_bytes_col(F.col("size_text")).alias("n_bytes"))
+    unit = F.element_at(F.array(F.lit("K"), F.lit("M"), F.lit("G")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    text = F.concat((F.col("p_size") / 2).cast("string"), unit)
+    return _t(spark, d, "part").select("p_partkey", S.size_bytes_col(text).alias("n_bytes"))
 
 
-_VERSIONS = ["0.9.3", "0.10", "1.2.0", "1.10.1", "2"]
-
-
-@query(f"select v as version, row_number() over (order by list_transform(string_split(v, '.'), lambda x: x::int))::int as place from {_list('v', _VERSIONS)}")
+@query("select p_partkey, row_number() over (order by p_partkey % 7, p_partkey // 7) - 1 as place from part")
 def version_order(spark, d):
-    df = _values(spark, "version", _VERSIONS, "string")
-    return df.select("version", F.row_number().over(Window.orderBy(S.version_key(F.col("version")))).alias("place"))
-
+    df = _t(spark, d, "part").select("p_partkey", F.concat_ws(".", F.col("p_partkey") % 7, F.floor(F.col("p_partkey") / 7)).alias("version"))
+    return numbered(df, S.version_key(F.col("version")), as_="place").select("p_partkey", "place")
 
-_CODE = ["# first line: 12\ndef f(x): return x", "def g(): pass", "# first line: -1\nlambda: 0"]
 
-
-@query("select n::int as n, line::int as line from (values (0, 12), (1, -1), (2, -1)) t(n, line)")
+@query("select doc_id, case when doc_id % 4 = 0 then -1 else doc_id * 3 end::int as line from documents")
 def stored_code_line(spark, d):
-    df = spark.createDataFrame(list(enumerate(_CODE)), "n int, code string")
-    return df.select("n", S.stored_first_line(F.col("code")).cast("int").alias("line"))
+    code = F.when(F.col("doc_id") % 4 == 0, F.col("text")).otherwise(F.concat(F.lit("# first line: "), (F.col("doc_id") * 3).cast("string"), F.lit("\n"), F.col("text")))
+    return _t(spark, d, "documents").select("doc_id", S.stored_first_line(code).cast("int").alias("line"))
 
 
-# --- hashes --------------------------------------------------------------------------------------
+# --- hashes
 @query("""
 select doc_id, md5(from_hex('800358') || from_hex(substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2)) || encode(text) || from_hex('2E')) as digest
 from (select *, printf('%08x', strlen(text)) as h from documents)""")
@@ -225,35 +251,43 @@ def hash_int_exact(spark, d):
     return _t(spark, d, "orders").select("o_orderkey", H.exact_int(F.col("o_orderkey")).alias("digest"))
 
 
-@query(None)
+@query("select l_orderkey, l_linenumber, md5(from_hex('800347') || l_extendedprice::bit::blob || from_hex('2E')) as digest from lineitem")
 def hash_float_exact(spark, d):
     return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", H.exact_float("l_extendedprice").alias("digest"))
 
 
-@query(None)
+@query("""
+with v as (select vec_id, len(embedding) as n, list_transform(embedding, lambda x: hex(x::bit::blob)) as h from embeddings),
+r as (select vec_id, n, array_to_string(list_transform(h, lambda x: x[7:8] || x[5:6] || x[3:4] || x[1:2]), '') as raw, printf('%08x', 4 * n) as c from v)
+select vec_id, md5(from_hex('80039328' || '5807000000' || hex('float32') || '5D7100' || '4B' || printf('%02X', n) || '61' || '580100000043'
+    || case when 4 * n < 256 then '43' || printf('%02X', 4 * n) else '42' || c[7:8] || c[5:6] || c[3:4] || c[1:2] end || raw || '7471012E')) as digest from r""")
 def hash_vector(spark, d):
     return _t(spark, d, "embeddings").select("vec_id", H.exact_vector("embedding").alias("digest"))
 
 
-@query("select doc_id, sha1(text) as digest from documents")
+@query("""
+select doc_id, sha1(from_hex('800358') || from_hex(substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2)) || encode(text) || from_hex('2E')) as digest
+from (select *, printf('%08x', strlen(text)) as h from documents)""")
 def hash_sha1(spark, d):
-    return _t(spark, d, "documents").select("doc_id", F.sha1("text").alias("digest"))
+    return _t(spark, d, "documents").select("doc_id", H.exact_str(F.col("text"), "sha1").alias("digest"))
 
 
-@query("""select user_id, md5('[' || string_agg('"' || event_type || '"', ',' order by event_type) || ']') as digest from (select distinct user_id, event_type from events) group by user_id""")
+@query("""
+select user_id, md5(string_agg(x, '' order by x)) as digest from (select distinct user_id, 'S' || strlen(event_type) || ':' || event_type as x from events) group by user_id""")
 def hash_set_order_free(spark, d):
-    return _t(spark, d, "events").groupBy("user_id").agg(H.set_key(F.collect_set("event_type")).alias("digest"))
+    return _t(spark, d, "events").groupBy("user_id").agg(H.set_key(F.collect_list("event_type"), T.StringType()).alias("digest"))
 
 
 @query("""
-select user_id, md5('[' || string_agg('{"key":"' || event_type || '","value":' || n || '}', ',' order by event_type) || ']') as digest
-from (select user_id, event_type, count(*) as n from events group by all) group by user_id""")
+select user_id, md5('{' || string_agg(x, '' order by x) || '}') as digest
+from (select user_id, 'S' || strlen(event_type) || ':' || event_type || 'I' || count(*) || ';' as x from events group by user_id, event_type) group by user_id""")
 def hash_map_order_free(spark, d):
     n = _t(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    return n.groupBy("user_id").agg(H.map_key(F.map_from_entries(F.collect_list(F.struct("event_type", "n")))).alias("digest"))
+    made = n.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m"))
+    return made.select("user_id", H.map_key(F.col("m"), made.schema["m"].dataType).alias("digest"))
 
 
-# --- memo ----------------------------------------------------------------------------------------
+# --- memo
 @query("""
 select doc_id, md5(text) as key, len(string_split(text, ' '))::bigint as n_parts, length(text) as n_signs, row_number() over (partition by text order by doc_id) > 1 as is_hit
 from documents""")
@@ -264,66 +298,133 @@ def memo_compute_once(spark, d):
     return out.select("doc_id", "key", "n_parts", "n_signs", "is_hit")
 
 
-@query("""select doc_id, md5('{"lang":"' || lang || '","source":"' || source || '","n_chars":' || n_chars || '}') as args_id from documents""")
+@query("select doc_id, md5('S' || strlen(lang) || ':' || lang || 'S' || strlen(source) || ':' || source || 'I' || n_chars || ';') as args_id from documents")
 def memo_arg_key(spark, d):
-    return _t(spark, d, "documents").select("doc_id", H.content_key("lang", "source", "n_chars").alias("args_id"))
+    docs = _t(spark, d, "documents")
+    return docs.select("doc_id", H.content_key(docs.schema, "lang", "source", "n_chars").alias("args_id"))
 
 
-@query("""select doc_id, md5('{"lang":"' || lang || '","n_chars":' || n_chars || '}') as args_id from documents""")
+@query("select doc_id, md5('S' || strlen(lang) || ':' || lang || 'I' || n_chars || ';') as args_id from documents")
 def memo_ignore_arg(spark, d):
-    return _t(spark, d, "documents").select("doc_id", H.content_key("lang", "source", "n_chars", ignore=("source",)).alias("args_id"))
+    docs = _t(spark, d, "documents")
+    return docs.select("doc_id", H.content_key(docs.schema, "lang", "source", "n_chars", ignore=("source",)).alias("args_id"))
 
 
-@query("select doc_id, row_number() over (partition by md5(text) order by doc_id) > 1 as is_hit from documents")
-def memo_hit_flag(spark, d):
-    docs = _t(spark, d, "documents").select("doc_id", F.md5("text").alias("k"))
-    first = docs.groupBy("k").agg(F.min("doc_id").alias("first"))
-    return docs.join(first, "k").select("doc_id", (F.col("doc_id") != F.col("first")).alias("is_hit"))
+def _memo(spark: SparkSession) -> Memo:
+    return Memo(spark, scratch_path(spark, "memo"))
+
+
+def _text_stats(r: dict) -> dict:
+    return {"n_parts": len(r["text"].split(" ")), "n_signs": len(r["text"])}
+
+
+_STATS = "n_parts long, n_signs long"
+_TEXT_KEYS = "select distinct md5('S' || strlen(text) || ':' || text) as args_id from documents"
+
+
+@query("select doc_id, len(string_split(text, ' '))::bigint as n_parts, length(text) as n_signs from documents")
+def memo_store_roundtrip(spark, d):
+    """Computed by one call, kept, and read by the next: the function of the second is never run."""
+    docs, f = _t(spark, d, "documents").select("doc_id", "text"), _memo(spark).cache(_text_stats, schema=_STATS, ignore=("doc_id",))
+    f(docs)
+    f.function = None
+    return f(docs).select("doc_id", "n_parts", "n_signs")
+
+
+@query("select event_id, event_id as us from events")
+def memo_timestamp_keys(spark, d):
+    """Calls that differ by one microsecond are different calls."""
+    e = _t(spark, d, "events").select("event_id", F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("event_id")).alias("t"))
+    f = _memo(spark).cache(lambda r: {"us": r["t"].second * 1_000_000 + r["t"].microsecond}, schema="us long", ignore=("event_id",))
+    return f(e).select("event_id", "us")
 
 
-def _catalog(spark, d) -> tuple[DataFrame, DataFrame]:
-    e, split = _t(spark, d, "events"), F.lit("2024-01-03").cast("timestamp_ntz")
-    return e.where(F.col("ts") < split).select("user_id", "event_type").distinct(), e.where(F.col("ts") >= split)
+@query(f"select args_id from ({_TEXT_KEYS}) order by args_id desc limit 100")
+def memo_evicted_store(spark, d):
+    """What is left after eviction; all were used at once, so ties go by key."""
+    memo = _memo(spark)
+    memo.cache(_text_stats, schema=_STATS)(_t(spark, d, "documents").select("text"))
+    memo.reduce_size(items_limit=100)
+    return memo.items().select("args_id")
+
+
+@query("select doc_id, len(string_split(text, ' '))::bigint as n_parts, length(text) as n_signs from documents")
+def memo_damaged_store(spark, d):
+    """A call whose stored results can't be read any more."""
+    memo, docs = _memo(spark), _t(spark, d, "documents").select("doc_id", "text")
+    f = memo.cache(_text_stats, schema=_STATS, ignore=("doc_id",))
+    f(docs)
+    run = memo.store.names(f"items/{f.func_id}")[0]
+    file = next(n for n in memo.store.names(f"items/{f.func_id}/{run}") if n.endswith(".parquet"))
+    memo.store.delete(f"items/{f.func_id}/{run}/{file}")
+    memo.store.write_text(f"items/{f.func_id}/{run}/{file}", "damaged")
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return f(docs).select("doc_id", "n_parts", "n_signs")
+
+
+@query("select doc_id, exists (select 1 from documents e where e.doc_id % 2 = 0 and e.text = d.text) as is_hit from documents d")
+def memo_hit_flag(spark, d):
+    docs, f = _t(spark, d, "documents").select("doc_id", "text"), _memo(spark).cache(_text_stats, schema=_STATS, ignore=("doc_id",))
+    f(docs.where("doc_id % 2 = 0"))
+    return f.check(docs).select("doc_id", "is_hit")
 
 
 _SPLIT = "with c as (select distinct user_id, event_type from events where ts < timestamp '2024-01-03'), r as (select * from events where ts >= timestamp '2024-01-03')\n"
 
 
+def _requests(spark, d) -> DataFrame:
+    """Later events, marked whether an earlier one had the same user and type."""
+    e, split = _t(spark, d, "events").select("event_id", "ts", "user_id", "event_type"), F.lit("2024-01-03").cast("timestamp_ntz")
+    f = _memo(spark).cache(lambda r: {"name": f"{r['user_id']}-{r['event_type']}"}, schema="name string", ignore=("event_id", "ts"))
+    f(e.where(F.col("ts") < split))
+    return f.check(e.where(F.col("ts") >= split))
+
+
 @query(_SPLIT + "select event_id from r where not exists (select 1 from c where c.user_id = r.user_id and c.event_type = r.event_type)")
 def memo_miss_anti(spark, d):
-    catalog, requests = _catalog(spark, d)
-    return requests.join(catalog, ["user_id", "event_type"], "left_anti").select("event_id")
+    return _requests(spark, d).where("not is_hit").select("event_id")
 
 
 @query(_SPLIT + "select event_id from r where exists (select 1 from c where c.user_id = r.user_id and c.event_type = r.event_type)")
 def memo_hit_semi(spark, d):
-    catalog, requests = _catalog(spark, d)
-    return requests.join(catalog, ["user_id", "event_type"], "left_semi").select("event_id")
+    return _requests(spark, d).where("is_hit").select("event_id")
 
 
 @query("select event_id from events where timestamp '2024-01-31' - ts < interval 3 day")
 def memo_expire(spark, d):
-    return _t(spark, d, "events").where(F.lit(WEEK).cast("timestamp_ntz") - F.col("ts") < F.lit(timedelta(days=3))).select("event_id")
+    valid = expires_after(days=3)(F.lit(WEEK).cast("timestamp_ntz"), F.struct(F.col("ts").alias("time")))
+    return _t(spark, d, "events").where(valid).select("event_id")
 
 
-@query("select event_id, coalesce(value > 50, false) as is_valid from events")
+@query("select event_id from events where value > 50")
 def memo_validate_duration(spark, d):
-    return _t(spark, d, "events").select("event_id", F.coalesce(F.col("value") > 50, F.lit(False)).alias("is_valid"))
+    """Stored rows that a callback on their metadata lets pass."""
+    f = Memo(spark).cache(_text_stats, schema=_STATS, valid_if=lambda now, metadata: metadata["duration"] > 50)
+    rows = _t(spark, d, "events").select("event_id", F.col("event_id").cast("double").alias("time"), F.col("value").alias("duration"), F.lit("").alias("input"))
+    return f._valid(rows).select("event_id")
 
 
-_BIND = [(1, None), (None, 5), (None, None)]
+def _bound(x, y=7, *, z=1): ...
 
 
-@query("select n::int as n, coalesce(x, 0)::bigint as x, coalesce(y, 7)::bigint as y from (values (0, 1, null), (1, null, 5), (2, null, null)) t(n, x, y)")
+@query("select n_nationkey as n, n_regionkey as x, case when n_nationkey % 3 = 0 then 7 else n_nationkey end as y, 1 as z from nation")
 def bind_defaults(spark, d):
-    df = spark.createDataFrame([(i, *r) for i, r in enumerate(_BIND)], "n int, x long, y long")
-    return df.select("n", F.coalesce("x", F.lit(0)).alias("x"), F.coalesce("y", F.lit(7)).alias("y"))
+    """Arguments by name, defaults filled in; some rows leave out the second."""
+
+    def bind(r):
+        args = (r["n_regionkey"],) if r["n_nationkey"] % 3 == 0 else (r["n_regionkey"], r["n_nationkey"])
+        return {"n": r["n_nationkey"], **bound_arguments(_bound, [], args)}
+
+    return MapEngine()(bind, _t(spark, d, "nation").select("n_nationkey", "n_regionkey"), "n int, x int, y int, z int")
 
 
-# --- store ---------------------------------------------------------------------------------------
-@query("select md5(text) as item, sum(n_chars)::bigint as size_bytes, count(*) as n_files from documents group by md5(text)")
+# --- store
+@query(_TEXT_KEYS)
 def store_item_listing(spark, d):
-    return _t(spark, d, "documents").groupBy(F.md5("text").alias("item")).agg(F.sum("n_chars").alias("size_bytes"), F.count("*").alias("n_files"))
+    memo = _memo(spark)
+    memo.cache(_text_stats, schema=_STATS)(_t(spark, d, "documents").select("text"))
+    return memo.items().where("size_bytes > 0").select("args_id")
 
 
 _ITEMS = """
@@ -355,28 +456,40 @@ _eviction("store_evict_age", _AGE, age_limit=timedelta(days=26))
 _eviction("store_evict_lru", f"before < total - 1048576 or rank0 < n - 400 or {_AGE}", bytes_limit="1M", items_limit=400, age_limit=timedelta(days=26))
 
 
-# --- persistence ---------------------------------------------------------------------------------
-_HEADS = ["789C0000", "1F8B0800", "425A6839", "5D000080", "FD377A585A00", "04224D18", "5A460000", "50415231"]
+# --- persistence
+_CODECS = ("zlib", "gzip", "bz2", "lzma", "xz")
 
 
-@query(f"""
-select head, case when starts_with(head, '5A46') then 'compat' when starts_with(head, '78') then 'zlib' when starts_with(head, '1F8B') then 'gzip' when starts_with(head, '425A') then 'bz2'
-    when starts_with(head, '5D00') then 'lzma' when starts_with(head, 'FD377A585A') then 'xz' when starts_with(head, '04224D18') then 'lz4' else 'not-compressed' end as codec from {_list('head', _HEADS)}""")
-def codec_sniff(spark, d):
-    return _values(spark, "head", _HEADS, "string").select("head", sniffed(F.unhex("head")).alias("codec"))
+@query(f"select codec, n_nationkey, n_name from nation, (values {', '.join(f'({c!r})' for c in (*_CODECS, 'none'))}) t(codec)")
+def persist_roundtrip(spark, d):
+    """A table dumped and loaded by each codec, and by none."""
+    nation, out = _t(spark, d, "nation").select("n_nationkey", "n_name"), None
+    for codec in (*_CODECS, None):
+        (path,) = dump(nation, scratch_path(spark, "dump"), (codec, 6) if codec else 0)
+        back = load(spark, path, nation.schema).select(F.lit(codec or "none").alias("codec"), "n_nationkey", "n_name")
+        out = back if out is None else out.unionByName(back)
+    return out
 
 
-_PATHS = ["a.z", "b/c.gz", "d.bz2", "e.lzma", "f.xz", "g.lz4", "h.parquet"]
+@query(f"select * from (values {', '.join(f'({c!r}, {c!r})' for c in _CODECS)}, ('none', 'not-compressed')) t(written_as, codec)")
+def codec_sniff(spark, d):
+    """The codec that the first bytes of files tell, whatever their folder is called."""
+    nation, out = _t(spark, d, "nation"), None
+    for codec in (*_CODECS, None):
+        (path,) = dump(nation, scratch_path(spark, "dump"), codec or 0)
+        found = detect_codec(spark, path).select(F.lit(codec or "none").alias("written_as"), "codec").distinct()
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
-@query(f"""
-select path, case split_part(path, '.', 2) when 'z' then 'zlib' when 'gz' then 'gzip' when 'bz2' then 'bz2' when 'lzma' then 'lzma' when 'xz' then 'xz' when 'lz4' then 'lz4' end as codec
-from {_list('path', _PATHS)}""")
+@query("""
+select n_nationkey, case n_nationkey % 7 when 0 then 'zlib' when 1 then 'gzip' when 2 then 'bz2' when 3 then 'lzma' when 4 then 'xz' when 5 then 'lz4' end as codec from nation""")
 def codec_by_name(spark, d):
-    return _values(spark, "path", _PATHS, "string").select("path", codec_col(F.col("path")).alias("codec"))
+    extension = F.element_at(F.array(*map(F.lit, (".z", ".gz", ".bz2", ".lzma", ".xz", ".lz4", ".parquet"))), (F.col("n_nationkey") % 7 + 1).cast("int"))
+    return _t(spark, d, "nation").select("n_nationkey", codec_col(F.concat("n_name", extension)).alias("codec"))
 
 
-# --- the relational work inside mapped tasks ------------------------------------------------------
+# --- the relational work inside mapped tasks
 @query("""
 select l_returnflag, l_linestatus, sum(l_quantity::decimal(18,2))::decimal(28,2) as sum_qty, round(avg(l_discount), 6) as avg_disc, count(*) as n_rows
 from lineitem where l_shipdate <= timestamp '1998-09-02' group by all""")
