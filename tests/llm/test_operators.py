@@ -805,11 +805,101 @@ def test_op10_forward_sums_all_segmentations(word):
             total[j] += total[j - 1] * np.prod([by[b] for b in s[j - 1].encode()])
     assert m.log_probability(word) == pytest.approx(np.log(total[-1]), rel=1e-9)
     into = np.zeros(len(p))
-    m.expected(word, 1.0, into)
+    assert m.expect([word, word], np.array([1, 0]), into) == pytest.approx(np.log(total[-1]), rel=1e-9)
     # pieces of a word cover its letters: expected lengths add up
     assert sum(n * len(pieces[i]) for i, n in enumerate(into) if n and not is_byte[i]) <= len(s) + 1e-6
 
 
+def spellings(word, own, by):
+    """(from, to, pieces) of all arcs of a marked word, by nested loops."""
+    s = lattice_lm.MARK + word
+    for i in range(len(s)):
+        for j in range(i + 1, len(s) + 1):
+            part = s[i:j]
+            if part in own and lattice_lm.MARK not in part[1:] and not (i and part[0] == lattice_lm.MARK):
+                yield i, j, [own[part]]
+        if i:
+            yield i, i + 1, [by[b] for b in s[i].encode()]
+
+
+def test_op10_scores_by_hand(spark):
+    """Expectation steps, spelling, discount and normaliser recomputed by plain loops from the definition."""
+    path = encoder.vocabulary_path(lattice_lm.PIECES)
+    pieces, is_byte, p = lattice_lm.vocabulary(path)
+    own = {x: i for i, (x, b) in enumerate(zip(pieces, is_byte, strict=True)) if x and not b}
+    by = {int(x[3:5], 16): i for i, (x, b) in enumerate(zip(pieces, is_byte, strict=True)) if b}
+    rows = [(i, " ".join(random.Random(i).choices(["the", "thing", "others", "zzé", "日本", "a▁b", "unmixing"], k=6)) + (f" rare{i}" if i % 3 else "")) for i in range(30)] + [(None, "the newest word"), (31, "")]
+    held = lambda d: d is None or zlib.crc32(str(d).encode()) % 5 == 1
+    c = Counter(w for d, t in rows if not held(d) for w in words(t))
+    ends = sum(not held(d) for d, _ in rows)
+
+    def ways(word, p):
+        """(total, expected uses) by summing products over all arcs."""
+        n, arcs = len(word) + 1, list(spellings(word, own, by))
+        a, b = [1.0] + [0.0] * n, [0.0] * n + [1.0]
+        for i, j, ids in sorted(arcs, key=lambda x: x[1]):
+            a[j] += a[i] * float(np.prod([p[k] for k in ids]))
+        for i, j, ids in sorted(arcs, key=lambda x: -x[0]):
+            b[i] += b[j] * float(np.prod([p[k] for k in ids]))
+        uses = Counter()
+        for i, j, ids in arcs:
+            for k in ids:
+                uses[k] += a[i] * float(np.prod([p[x] for x in ids])) * b[j] / a[n]
+        return a[n], uses
+
+    before = -np.inf
+    for _ in range(lattice_lm.STEPS):
+        into, said = np.where(p > 0, lattice_lm.SMOOTHING, 0.0), 0.0
+        for w, n in c.items():
+            total, uses = ways(w, p)
+            said += n * np.log(total) / sum(c.values())
+            for k, x in uses.items():
+                into[k] += n * x
+        p = into / into.sum()
+        if said - before < lattice_lm.SETTLED:
+            break
+        before = said
+    once, twice = sum(n == 1 for n in c.values()), sum(n == 2 for n in c.values())
+    less = once / (once + 2 * twice) if once and twice else 0.5
+    n, v = sum(c.values()) + ends, len(c)
+    marked = np.array([x.startswith(lattice_lm.MARK) for x in pieces])
+    fix = (1 - p[~marked].sum()) / p[marked].sum()
+    spell = lambda w: ways(w, p)[0] * fix
+    word = lambda w: max(c[w] - less, 0) / (n + 1) + (less * v + 0.5) / (n + 1) * spell(w)
+    end = (ends + 0.5) / (n + 1)
+    assert sum(word(w) for w in c) + end < 1
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for r in lattice_lm.score_documents(df, chunk_bytes=100).collect():
+        t = words(dict(rows)[r.doc_id])
+        assert r.score == pytest.approx(sum(log10(word(w)) for w in t) + log10(end), rel=1e-7)
+        assert r.lattice_score == pytest.approx(sum(log10(spell(w) * (1 - end)) for w in t) + log10(end), rel=1e-7)
+
+
+def test_encoder_fuzz(tokenizer):
+    """Strings of signs from all the encoder's cases, against the library."""
+    e, r = encoder.Encoder(encoder.vocabulary_path()), random.Random(11)
+    signs = list("abcXYZ019'\"<|>_-.,!?#@ \t\n\x0b\x1c\x85\xa0") + ["'s", "'LL", "'d", "<|endoftext|>", "<|startoftext|>", "é", "É", "e\u0301", "ß", "ẞ", "ñ", "ÿ", "Ÿ", "×", "÷", "¡", "İ", "ſ", "ŉ", "ﬁ", "日本", "Σ", "ς", "٣", "½", "😀", "\u200b", "ª", "µ"]
+    for _ in range(6000):
+        t = "".join(r.choices(signs, k=r.randint(1, 14)))
+        assert np.frombuffer(e.encode(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_op1_and_op6_queries_on_a_test_table(spark, tokenizer):
+    """The registered queries over whole sf0.001 tables, against all pairs and the library."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    want = {(d, n, c, d == c) for (d, _), (n, c, _) in zip(rows, components(rows, 2), strict=True)}
+    assert {tuple(r) for r in registry.QUERIES["op1_minhash_near_dedup"](spark, SF).collect()} == want
+    assert len({c for _, _, c, _ in want}) < len(rows)
+    got = registry.QUERIES["op6_best_fit_packing"](spark, SF).collect()
+    sizes = {d: len(ids_of(tokenizer, t, 0)) for d, t in rows}
+    per = Counter()
+    for r in got:
+        per[r.doc_id] += r.length
+    assert per == sizes and len({r.sequence_id for r in got}) <= -(-sum(sizes.values()) // 2048) + 1
+    scored = {r.doc_id: r for r in registry.QUERIES["op10_lattice_lm"](spark, SF).collect()}
+    assert {d: r.n_tokens for d, r in scored.items()} == {d: len(words(t)) + 1 for d, t in rows} and all(r.lattice_score < 0 > r.score for r in scored.values())
+
+
 def test_pipeline(spark, tmp_path, docs):
     import corpus_pipeline
 
