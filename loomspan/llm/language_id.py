@@ -187,7 +187,8 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_letters: int =
     labelled = labelled.select("lang", "doc_id", "text", F.char_length("text").alias("n")).where("n > 0")
     order = Window.partitionBy("lang").orderBy(F.when(F.col("n") > sample_letters, F.col("n")).otherwise(0), F.xxhash64("doc_id"), "doc_id", "n")
     # sizes first: a rank over few columns, cut down before it is shuffled; the sum is over what is left
-    sizes = labelled.select("lang", "doc_id", "n").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample_docs)
+    first = labelled.select("lang", "doc_id", "n").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample_docs)
+    sizes = first.select("lang", "doc_id", "n").distinct().withColumn("rank", F.row_number().over(order))
     upto = F.sum("n").over(Window.partitionBy("lang").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
     ids = sizes.withColumn("upto", upto).where((F.col("upto") <= sample_letters) | (F.col("rank") == 1)).select("lang", "doc_id", "n", "rank")
     # at most sample_docs ids a language; of rows that share id and size one text is taken

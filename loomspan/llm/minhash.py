@@ -11,11 +11,17 @@
    in blocks of bounded size, go through the same estimate and confirmation. Pairs within a
    component can't change the result, so after this no candidate pair is left untested.
 
+Classes are numbered, so no two share a name. A bucket of m classes in different components costs
+m / ``BLOCK`` copies of each of its rows and m * m / 2 comparisons of signatures, in groups of at
+most two blocks each; a bucket's first class, which the stars join on, is split by the planner's
+handling of skewed joins, and in the confirmation by ``MEMBERS``.
+
 A pair at the similarity 0.8 shares no band with probability (1 - 0.8**6)**42 < 3e-6.
 
 Defined results: a null text, or one without words, has an empty set and is linked with nothing.
 A text shorter than a shingle is one shingle. A null ``doc_id`` takes part by its text and never
-names a component while another id is there. Repeated rows are copies of each other. An empty
+names a component while another id is there; texts without an id are found again by their hash.
+Repeated rows are copies of each other. An empty
 table gives no rows. Columns besides ``doc_id`` and ``text`` aren't read, whatever their names.
 """
 
@@ -25,7 +31,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +45,8 @@ BANDS, ROWS, MINIMA = 42, 6, 256
 MARGIN = 0.2
 #: Classes of one bucket that are compared in one block; members that one confirmation block holds.
 BLOCK, MEMBERS = 2048, 256
+#: Pairs whose signatures are compared at a time.
+PAIRS = 1 << 18
 WIDTH, SIMILARITY = 5, 0.8
 
 _U = np.uint64
@@ -81,7 +88,7 @@ def _corrected(differ: float | np.ndarray) -> float | np.ndarray:
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """Per row: doc_id, n_shingles, fp (16 bytes), sig (8 words), bands (keys); null fp for an empty set."""
+    """Per row: doc_id, text_hash, n_shingles, fp (16 bytes), sig (8 words), bands (keys); null fp for an empty set."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,11 +104,11 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                         fp[i] = hashlib.blake2b(sets[bounds[i] : bounds[i + 1]].tobytes(), digest_size=16).digest()
                         sig[i], bands[i] = words[k], keys[k]
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].slice(at, n).cast(pa.int64()), pa.array(sizes.astype(np.int64)), pa.array(fp, pa.binary()), pa.array(sig, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "fp", "sig", "bands"],
+                    [batch["doc_id"].slice(at, n).cast(pa.int64()), batch["text_hash"].slice(at, n), pa.array(sizes.astype(np.int64)), pa.array(fp, pa.binary()), pa.array(sig, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))],
+                    ["doc_id", "text_hash", "n_shingles", "fp", "sig", "bands"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, n_shingles long, fp binary, sig array<bigint>, bands array<bigint>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(sketch, "doc_id long, text_hash long, n_shingles long, fp binary, sig array<bigint>, bands array<bigint>")
 
 
 def _estimate(a: Column, b: Column) -> Column:
@@ -127,7 +134,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int
     placed = written(pairs.join(n_a, "a").withColumn("block", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("blocks")))).drop("blocks"), "pairs")
     drop(pairs)
     needed = placed.select(F.col("a").alias("cid")).unionByName(placed.select(F.col("b").alias("cid"))).distinct()
-    wanted = classes.join(needed, "cid").select("cid", F.col("fp").alias("wanted"), F.col("first_id").alias("doc_id"))
+    wanted = classes.join(needed, "cid").select("cid", F.col("fp").alias("wanted"), F.col("first_id").alias("doc_id"), "text_hash")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,7 +143,8 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int
                 same = [hashlib.blake2b(r, digest_size=16).digest() == w for r, w in zip(rows, batch["wanted"].slice(at, end - at).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch["cid"].slice(at, end - at), pa.array(rows, pa.binary())], ["cid", "set"]).filter(pa.array(same, pa.bool_()))
 
-    texts = docs.select(F.col("doc_id").alias("own_id"), "text").join(wanted, F.col("own_id").eqNullSafe(F.col("doc_id"))).select("cid", "wanted", "text")
+    own = docs.select(F.col("doc_id").alias("own_id"), "text", F.xxhash64("text").alias("own_hash"))
+    texts = own.join(wanted, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash"))).select("cid", "wanted", "text")
     made = written(texts.mapInArrow(sets, "cid long, set binary").dropDuplicates(["cid"]), "sets")
     heads = placed.select("block", F.col("a").alias("cid")).distinct().withColumn("is_head", F.lit(True))
     members = placed.select("block", F.col("b").alias("cid")).withColumn("is_head", F.lit(False))
@@ -173,32 +181,66 @@ def _across(members: DataFrame, similarity: float) -> DataFrame:
     rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", "cuts")
     percent, least = round(100 * similarity), similarity - MARGIN
 
-    def pairs(df: pd.DataFrame) -> pd.DataFrame:
-        sig = np.array(df["sig"].tolist(), np.int64).view(np.uint64)
-        cid, part, n, block = (df[c].to_numpy() for c in ("cid", "component", "n_shingles", "own"))
-        left = np.flatnonzero(block == df["i"].iat[0])
-        right = np.flatnonzero(block == df["j"].iat[0])
-        found: list[np.ndarray] = []
-        for x in left:
-            y = right[(part[right] != part[x]) & ((cid[right] > cid[x]) | (block[right] != block[x]))]
-            y = y[100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])]
-            diff = sig[y] ^ sig[x]
+    def near(part: tuple[np.ndarray, ...]) -> np.ndarray:
+        """Pairs among the rows of whole groups, which stand one after the other."""
+        group, cid, component, n, own, is_one, sig = part
+        at = np.arange(len(group))
+        more = np.searchsorted(group, group, "right") - at - 1  # rows of the group after each
+        found, begin, so_far = [], 0, np.cumsum(more)
+        while begin < len(group):
+            end = max(begin + 1, int(np.searchsorted(so_far, (so_far[begin - 1] if begin else 0) + PAIRS, "right")))
+            k = more[begin:end]
+            x = np.repeat(at[begin:end], k)
+            y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(k) - k, k)
+            fine = (component[x] != component[y]) & (is_one[x] | (own[x] != own[y])) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+            x, y = x[fine], y[fine]
+            diff = sig[x] ^ sig[y]
             differ = np.bitwise_count((diff | diff >> _U(1)) & _U(_EVEN)).sum(axis=1, dtype=np.int64)
-            y = y[_corrected(differ) >= least]
-            found.append(np.stack([np.full(len(y), cid[x]), cid[y]], axis=1))
-        out = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": out.min(axis=1, initial=2**63 - 1), "b": out.max(axis=1, initial=-(2**63))})
+            close = _corrected(differ) >= least
+            found.append(np.stack([cid[x[close]], cid[y[close]]], axis=1))
+            begin = end
+        return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: list[pa.RecordBatch] = []
 
-    return rows.groupBy("key", "i", "j").applyInPandas(pairs, "a long, b long").distinct()
+        def out(table: pa.Table) -> pa.RecordBatch:
+            key, i, j, cid, component, n, own = (table[c].to_numpy() for c in ("key", "i", "j", "cid", "component", "n_shingles", "own"))
+            sig = table["sig"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(key), -1)
+            group = np.cumsum(np.append(False, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+            both = near((group, cid, component, n, own, i == j, sig))
+            return pa.RecordBatch.from_arrays([pa.array(both.min(axis=1, initial=2**63 - 1)), pa.array(both.max(axis=1, initial=-(2**63)))], ["a", "b"])
+
+        for batch in batches:
+            left.append(batch)
+            key, i, j = (batch[c].to_numpy() for c in ("key", "i", "j"))
+            # the last group may go on in the next batch
+            last = np.flatnonzero((key != key[-1]) | (i != i[-1]) | (j != j[-1])) if batch.num_rows else []
+            if len(last):
+                cut = int(last[-1]) + 1
+                left[-1] = batch.slice(0, cut)
+                yield out(pa.Table.from_batches(left))
+                left = [batch.slice(cut)]
+        if sum(b.num_rows for b in left):
+            yield out(pa.Table.from_batches(left))
+
+    # so many tasks as shuffles have, however few bytes: comparing is the work
+    n_tasks = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), members.sparkSession.sparkContext.defaultParallelism)
+    columns = ["key", "i", "j", "cid", "component", "n_shingles", "own", "sig"]
+    grouped = rows.select(*columns).repartition(n_tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return grouped.mapInArrow(pairs, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept, and fp and component_key, which name set and component also where ids are null."""
     rows = written(sketches(docs, width), "sketches")
-    cid = F.conv(F.substring(F.hex("fp"), 1, 15), 16, 10).cast("long")
     full = rows.where(F.col("fp").isNotNull())
-    classes = full.groupBy("fp").agg(*(F.first(c).alias(c) for c in ("n_shingles", "sig", "bands")), F.min("doc_id").alias("first_id"))
-    classes = written(classes.withColumn("cid", cid), "classes")
+    # the row of the least id, a null one last, stands for a class
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("is_null"), "doc_id", "text_hash")).alias("one")
+    classes = full.groupBy("fp").agg(*(F.first(c).alias(c) for c in ("n_shingles", "sig", "bands")), one)
+    classes = classes.select("fp", "n_shingles", "sig", "bands", F.col("one.doc_id").alias("first_id"), F.col("one.text_hash").alias("text_hash"))
+    # numbered once, in what is written
+    classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     small = classes.select("cid", "n_shingles", "sig")
 
     keys = classes.select("cid", F.explode("bands").alias("key"))

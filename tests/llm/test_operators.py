@@ -110,6 +110,28 @@ def test_op1_chains_across_a_bucket(spark):
     assert got == {d: c for (d, _), (_, c, _) in zip(rows, components(rows, 2), strict=True)}
 
 
+def test_op1_pairs_of_blocks(spark, monkeypatch):
+    """Groups that go on over batches, blocks of few rows, few pairs at a time: all pairs across components, once."""
+    monkeypatch.setattr(minhash, "BLOCK", 7)
+    monkeypatch.setattr(minhash, "PAIRS", 50)
+    r = random.Random(8)
+    rows = [(k, 1000 * k + i, r.randint(0, 5), r.choice([100, 100, 130]), [r.choice([0, -1])] * 8) for k, n in enumerate([1, 2, 60, 33, 5]) for i in range(n)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    got = minhash._across(spark.createDataFrame(rows, "key long, cid long, component long, n_shingles long, sig array<bigint>"), 0.8).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[2] != b[2] and a[4] == b[4] and 100 * min(a[3], b[3]) >= 80 * max(a[3], b[3])}
+    assert len(got) == len(want) and {(x.a, x.b) for x in got} == want
+
+
+def test_op1_null_ids(spark):
+    rows = [(None, prose(40, s)) for s in range(30)] + [(None, edited(prose(40, 3), 1, 1)), (None, prose(40, 4)), (5, prose(40, 5))] + [(None, prose(40, 6))] * 40
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), width=2).collect()
+    want = components(rows, 2)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter((d, n, c) for (d, _), (n, c, _) in zip(rows, want, strict=True))
+    assert len({r.component_key for r in got}) == len({k for _, _, k in want})
+    assert minhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).count() == len({k for _, _, k in want})
+
+
 def test_shingles_and_estimates():
     a, b = shingles.mix(np.arange(400, dtype=np.uint64)), shingles.mix(np.arange(40, 440, dtype=np.uint64))
     least = minhash.minima(np.concatenate([np.sort(a), np.sort(b)]), np.array([0, 400, 800]))
