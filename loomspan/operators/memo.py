@@ -46,7 +46,7 @@ from loomspan.plans.scratch import drop, written
 
 KEY = "args_id"
 #: Runs of a function that are left apart, seconds that merged ones' files stay, and keys that are looked for by their values.
-MOST_RUNS, GRACE, FEW_KEYS = 8, 86_400, 1_000
+MOST_RUNS, GRACE, FEW_KEYS = 8, 86_400, 100
 #: Seconds that writing a call's metadata may take without a warning.
 SLOW_WRITE = 5.0
 
