@@ -552,6 +552,37 @@ def test_op5_scores_are_exact(big):
     assert topk.scores(np.full((1, 2), 2.0**60), np.array([[2.0**60, 0], [-(2.0**60), 0]])).tolist() == [[2**63 - 1, -(2**63)]]
 
 
+def test_op5_nothing_grows_on_the_driver(vectors):
+    got = topk.top_k(vectors, vectors.where("id % 50 = 0"), rows=64, query_rows=3)
+    assert got.count()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # copies of the queries, one for each block of rows, were broadcast if Spark held one copy for small
+    assert "MapInArrow" in plan and "Broadcast" not in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("big", [1.0, 100.0, 2.0**13, 2.0**28, 2.0**40])
+@pytest.mark.parametrize("share", [0.05, 1.0])
+def test_op5_best_over_chunks(big, share):
+    r = np.random.default_rng(7)
+    q, v = (np.floor(r.normal(size=(n, w)) * big) * (r.random((n, w)) < share) for n, w in ((4, 6), (90, 5)))
+    q_ids, ids = np.array([3, 50, 999, 7]), r.integers(0, 60, 90)
+    chunks = [(ids[at : at + 13], np.argsort(ids[at : at + 13]), v[at : at + 13].astype(topk._type(v[at : at + 13]))) for at in range(0, 90, 13)]
+    got = sorted(zip(*(x.tolist() for x in topk._best(q_ids, q.astype(topk._type(q)), chunks, 5)), strict=True))
+    want = []
+    for i, x in zip(q_ids.tolist(), q.tolist(), strict=True):
+        all_ = sorted((-max(-(2**63), min(2**63 - 1, sum(int(a) * int(b) for a, b in zip(x, y, strict=False)))), j) for j, y in zip(ids.tolist(), v.tolist(), strict=True) if j != i)
+        want += [(i, j, -s) for s, j in all_[:5]]
+    assert got == sorted(want)
+
+
+@pytest.mark.parametrize("values,kind", [([], "<i1"), ([-128, 127], "<i1"), ([128], "<i2"), ([-32769], "<i4"), ([2.0**31], "<f8"), ([1e300], "<f8")])
+def test_op5_smallest_type(values, kind):
+    m = np.array([values], np.float64)
+    assert topk._type(m) == kind and m.astype(kind).tolist() == m.tolist()
+    one = np.ones((1, len(values)))
+    assert topk.scores(one, m.astype(kind)).tolist() == [[max(-(2**63), min(2**63 - 1, sum(map(int, values))))]]
+
+
 def test_op6_packing(docs, empty, tokenizer):
     got = packing.pack_documents(docs).collect()
     want = Counter()
