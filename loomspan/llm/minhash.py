@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from loomspan.llm.shingles import mix, sets_of
 from loomspan.llm.words import table
 from loomspan.operators.components import connected_components
-from loomspan.plans.scratch import drop, written
+from loomspan.plans.scratch import drop, freed_shuffles, written
 
 BANDS, ROWS, MINIMA = 42, 6, 256
 #: An estimate may lie so far below the similarity: over six standard errors of 256 two-bit minima.
@@ -47,6 +47,8 @@ MARGIN = 0.2
 BLOCK, MEMBERS = 2048, 256
 #: Pairs whose signatures are compared at a time.
 PAIRS = 1 << 18
+#: Bits of a sieve for each row that it is made of, and its 64-bit words at most.
+SIEVE_BITS, SIEVE_WORDS = 16, 1 << 18
 WIDTH, SIMILARITY = 5, 0.8
 
 _U = np.uint64
@@ -122,6 +124,26 @@ def _sizes_allow(a: Column, b: Column, similarity: float) -> Column:
     return 100 * F.least(a, b) >= round(100 * similarity) * F.greatest(a, b)
 
 
+def _sieve(rows: DataFrame, *columns: str) -> tuple[DataFrame, int]:
+    """A bitmap of the hashed ``columns`` of ``rows``, as a broadcast table of its words that aren't 0, and the number of all words."""
+    words = min(SIEVE_WORDS, max(1, rows.count() * SIEVE_BITS // 64))
+    bits = rows.select(*_place(words, *columns)).groupBy("__minhash_slot").agg(F.expr("bit_or(shiftleft(1L, __minhash_bit))").alias("__minhash_bits"))
+    return F.broadcast(bits), words
+
+
+def _place(words: int, *columns: str) -> tuple[Column, Column]:
+    h = F.xxhash64(*columns)
+    return F.pmod(h, F.lit(words)).alias("__minhash_slot"), F.shiftrightunsigned(h, 58).cast("int").alias("__minhash_bit")
+
+
+def _sifted(rows: DataFrame, sieve: tuple[DataFrame, int], *columns: str, passes: bool = True) -> DataFrame:
+    """Those of ``rows`` that the sieve lets pass, or those that it holds back: all that it was made of pass, and few others, without a shuffle."""
+    bits, words = sieve
+    slot, bit = _place(words, *columns)
+    hit = (slot == F.col("__minhash_slot")) & (F.getbit("__minhash_bits", bit) == 1)
+    return rows.join(bits, hit, "left_semi" if passes else "left_anti")
+
+
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
     """Of ``pairs`` (a, b: classes), those whose full sets reach the similarity.
 
@@ -134,7 +156,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int
     placed = written(pairs.join(n_a, "a").withColumn("block", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("blocks")))).drop("blocks"), "pairs")
     drop(pairs)
     needed = placed.select(F.col("a").alias("cid")).unionByName(placed.select(F.col("b").alias("cid"))).distinct()
-    wanted = classes.join(needed, "cid").select("cid", F.col("fp").alias("wanted"), F.col("first_id").alias("doc_id"), "text_hash")
+    wanted = written(classes.join(needed, "cid").select("cid", F.col("fp").alias("wanted"), F.col("first_id").alias("doc_id"), "text_hash"), "wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,8 +166,11 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int
                 yield pa.RecordBatch.from_arrays([batch["cid"].slice(at, end - at), pa.array(rows, pa.binary())], ["cid", "set"]).filter(pa.array(same, pa.bool_()))
 
     own = docs.select(F.col("doc_id").alias("own_id"), "text", F.xxhash64("text").alias("own_hash"))
+    # of most texts no pair is asked for: those aren't shuffled
+    own = _sifted(own, _sieve(wanted.select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash")), "own_id", "own_hash"), "own_id", "own_hash")
     texts = own.join(wanted, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash"))).select("cid", "wanted", "text")
     made = written(texts.mapInArrow(sets, "cid long, set binary").dropDuplicates(["cid"]), "sets")
+    drop(wanted)
     heads = placed.select("block", F.col("a").alias("cid")).distinct().withColumn("is_head", F.lit(True))
     members = placed.select("block", F.col("b").alias("cid")).withColumn("is_head", F.lit(False))
     rows = heads.unionByName(members).join(made, "cid").repartition("block").sortWithinPartitions("block", F.desc("is_head"))
@@ -233,19 +258,28 @@ def _across(members: DataFrame, similarity: float) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept, and fp and component_key, which name set and component also where ids are null."""
-    rows = written(sketches(docs, width), "sketches")
-    full = rows.where(F.col("fp").isNotNull())
+    with freed_shuffles(docs.sparkSession):
+        return _near_duplicates(docs, width, similarity)
+
+
+def _near_duplicates(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    sketched = written(sketches(docs, width), "sketches")
+    full = sketched.where(F.col("fp").isNotNull())
     # the row of the least id, a null one last, stands for a class
     one = F.min(F.struct(F.col("doc_id").isNull().alias("is_null"), "doc_id", "text_hash")).alias("one")
     classes = full.groupBy("fp").agg(*(F.first(c).alias(c) for c in ("n_shingles", "sig", "bands")), one)
     classes = classes.select("fp", "n_shingles", "sig", "bands", F.col("one.doc_id").alias("first_id"), F.col("one.text_hash").alias("text_hash"))
     # numbered once, in what is written
-    classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    small = classes.select("cid", "n_shingles", "sig")
-
-    keys = classes.select("cid", F.explode("bands").alias("key"))
+    banded = written(classes.withColumn("cid", F.monotonically_increasing_id()), "banded")
+    # band keys are most of a sketch, and are needed for the buckets only
+    rows = written(sketched.select("doc_id", "n_shingles", "fp"), "rows")
+    drop(sketched)
+    keys = banded.select("cid", F.explode("bands").alias("key"))
     heads = keys.groupBy("key").agg(F.min("cid").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
     members = written(keys.join(heads, "key"), "members")
+    classes = written(banded.drop("bands"), "classes")
+    drop(banded)
+    small = classes.select("cid", "n_shingles", "sig")
     stars = members.where(F.col("head") != F.col("cid")).select(F.col("head").alias("a"), F.col("cid").alias("b")).distinct()
     of = lambda s: small.select(*(F.col(c).alias(f"{c}_{s}") for c in small.columns))
     stars = stars.join(of("a"), F.col("a") == F.col("cid_a")).join(of("b"), F.col("b") == F.col("cid_b"))
@@ -279,10 +313,16 @@ def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float
     Rows with empty sets all stay.
     """
     columns = docs.columns
-    found = written(near_duplicates(docs, width, similarity), "near-duplicates")
-    odd = written(found.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("__minhash_id")), "repeated-ids")
+    with freed_shuffles(docs.sparkSession):
+        found = written(near_duplicates(docs, width, similarity), "near-duplicates")
+        odd = written(found.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("__minhash_id")), "repeated-ids")
+        gone = written(found.where("not kept").select("doc_id").unionByName(odd.toDF("doc_id")), "gone")
+        sieve = _sieve(gone, "doc_id")
     kept = found.where("kept").select(F.col("doc_id").alias("__minhash_id"))
-    plain = docs.join(kept.join(odd, "__minhash_id", "left_anti").where("__minhash_id is not null"), F.col("doc_id") == F.col("__minhash_id"), "left_semi")
+    # what the sieve holds back is no copy and has an id of its own; only the rest is shuffled, to see what it is
+    sure, maybe = (_sifted(docs, sieve, "doc_id", passes=p) for p in (False, True))
+    plain = maybe.join(kept.join(odd, "__minhash_id", "left_anti").where("__minhash_id is not null"), F.col("doc_id") == F.col("__minhash_id"), "left_semi")
+    plain = sure.select(*columns).unionByName(plain.select(*columns))
     if odd.isEmpty():
         return plain.select(*columns)
     # ids that stand for several rows: such a row is known by its id and the fingerprint of its set

@@ -8,8 +8,11 @@ operator doesn't drop as soon as nothing reads it goes with the session.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,3 +67,32 @@ def drop(*frames: DataFrame) -> None:
             jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(conf).delete(at, True)
+
+
+_FREEING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock, _inside = threading.Lock(), {}
+
+
+@contextlib.contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Inside, the files of a query's shuffles go when it ends, not when the driver happens to collect its garbage.
+
+    A plan that is run again makes them again, so this is for tables that are written once.
+    """
+    with _lock:
+        depth, before = _inside.get(spark, (0, None))
+        if not depth:
+            before = spark.conf.get(_FREEING, None)
+            spark.conf.set(_FREEING, "true")
+        _inside[spark] = depth + 1, before
+    try:
+        yield
+    finally:
+        with _lock:
+            depth, before = _inside.pop(spark)
+            if depth > 1:
+                _inside[spark] = depth - 1, before
+            elif before is None:
+                spark.conf.unset(_FREEING)
+            else:
+                spark.conf.set(_FREEING, before)

@@ -2,9 +2,11 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from math import log10
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -132,6 +134,53 @@ def test_op1_null_ids(spark):
     assert minhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).count() == len({k for _, _, k in want})
 
 
+def test_op1_shuffles_few_texts_and_frees_them(spark):
+    """Texts of which no pair is asked for are never shuffled, and no shuffle's file outlives its query."""
+    r = random.Random(3)
+    texts = [" ".join(f"{r.getrandbits(40):x}" for _ in range(1500)) for _ in range(200)]
+    texts += [texts[0] + " more", texts[1] + " more", texts[2]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    docs.write.parquet(path := f"{spark.conf.get('spark.checkpoint.dir')}/texts-{r.random()}")
+    docs = spark.read.parquet(path)
+    jvm, before = spark._jvm, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    files = lambda: {f for d in jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs() for f in Path(d.getPath()).rglob("shuffle_*.data")}
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in (stages.apply(i) for i in range(stages.size()))}
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        there, old = files(), shuffled()
+        found = minhash.near_duplicates(docs)
+        end = time.time() + 10
+        while files() - there and time.time() < end:
+            time.sleep(0.2)
+        assert not files() - there
+        assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) != "true"
+        assert {x.doc_id for x in found.where("not kept").collect()} == {200, 201, 202}
+        assert {x.doc_id for x in minhash.drop_near_duplicates(docs).collect()} == set(range(200))
+        assert sum(n for k, n in shuffled().items() if k not in old) < sum(map(len, texts))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_op1_sieve(spark, docs, monkeypatch):
+    """All that a sieve is made of passes, rows either pass or are held back, and a full one costs no row."""
+    rows = spark.range(3000).selectExpr("if(id = 0, null, id) id", "cast(id % 7 as string) t")
+    inside = rows.where("id is null or id % 10 = 0")
+    sieve = minhash._sieve(inside, "id", "t")
+    passed, held = ([tuple(x) for x in minhash._sifted(rows, sieve, "id", "t", passes=p).collect()] for p in (True, False))
+    assert {tuple(x) for x in inside.collect()} <= set(passed) and len(passed) < 900
+    assert Counter(passed + held) == Counter(tuple(x) for x in rows.collect())
+    none = minhash._sieve(rows.where("false"), "id", "t")
+    assert [minhash._sifted(rows, none, "id", "t", passes=p).count() for p in (True, False)] == [0, 3000]
+    want = Counter(map(str, minhash.drop_near_duplicates(docs).collect()))
+    monkeypatch.setattr(minhash, "SIEVE_WORDS", 1)
+    assert Counter(map(str, minhash.drop_near_duplicates(docs).collect())) == want
+
+
 def test_shingles_and_estimates():
     a, b = shingles.mix(np.arange(400, dtype=np.uint64)), shingles.mix(np.arange(40, 440, dtype=np.uint64))
     least = minhash.minima(np.concatenate([np.sort(a), np.sort(b)]), np.array([0, 400, 800]))
