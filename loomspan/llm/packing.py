@@ -84,8 +84,8 @@ def packed_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | N
             return pa.RecordBatch.from_arrays(out, names)
 
         for batch in slices(batches):
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                ids = known.encode(text) + end
+            for doc_id, found in zip(batch["doc_id"].to_pylist(), known.encode_all(batch["text"].to_pylist()), strict=True):
+                ids = found + end
                 for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
                     raw = ids[4 * start : 4 * (start + capacity)]
                     rows.append((doc_id, piece, start, len(raw) // 4, zlib.crc32(raw)))

@@ -41,6 +41,8 @@ MAGIC = b"LSTK"
 END_ID = 1
 #: Bytes of text at which a shard is closed, that a task gets at most and at least, and ids at which a block is closed.
 SHARD_BYTES, TASK_BYTES, SMALL_BYTES, BLOCK_IDS = 32 << 20, 128 << 20, 2 << 20, 1 << 21
+#: Ids below this are counted in a table, where a block has no larger ones.
+TABLE_IDS = 1 << 20
 #: Characters of a text that decide, among equal ids, in which task it is.
 BEGIN = 64
 
@@ -76,18 +78,30 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
+def ranked(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the ids that occur, most frequent first, then by id; the place there of each id of ``flat``)."""
+    if flat.max(initial=0) < TABLE_IDS:  # counted without sorting all ids
+        counts = np.bincount(flat)
+        known, at = np.flatnonzero(counts), flat
+        counts, place = counts[known], np.empty(len(counts), np.uint32)
+        keys = known
+    else:
+        known, at, counts = np.unique(flat, return_inverse=True, return_counts=True)
+        keys, place = np.arange(len(known)), np.empty(len(known), np.uint32)
+    order = np.lexsort((known, -counts))
+    place[keys[order]] = np.arange(len(known), dtype=np.uint32)
+    return known[order], place[at]
+
+
 def encode_block(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
     flat = np.frombuffer(b"".join(ids), "<u4")
-    values, at, counts = np.unique(flat, return_inverse=True, return_counts=True)
-    order = np.lexsort((values, -counts))
-    rank = np.empty(len(values), np.uint32)
-    rank[order] = np.arange(len(values), dtype=np.uint32)
-    control, data = encode_ranks(rank[at])
+    values, ranks = ranked(flat)
+    control, data = encode_ranks(ranks)
     head = np.array([len(ids), len(flat), len(values), len(data)], "<u4")
     return b"".join((
         MAGIC, head.tobytes(),
         np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([d is not None for d in doc_ids], np.uint8).tobytes(),
-        np.array([len(x) // 4 for x in ids], "<u4").tobytes(), values[order].astype("<u4").tobytes(), control, data,
+        np.array([len(x) // 4 for x in ids], "<u4").tobytes(), values.astype("<u4").tobytes(), control, data,
     ))
 
 
@@ -161,7 +175,8 @@ def write_token_shards(
             return pa.RecordBatch.from_pylist([row], pa.schema([("shard", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())]))
 
         for batch in slices(batches):
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            texts = batch["text"].to_pylist()
+            for doc_id, text, found in zip(batch["doc_id"].to_pylist(), texts, known.encode_all(texts), strict=True):
                 if out is None:
                     files, root = _open(path)
                     files.create_dir(root, recursive=True)
@@ -169,7 +184,7 @@ def write_token_shards(
                     own = f"{root}/{name}.{os.getpid()}-{os.urandom(4).hex()}"
                     out = files.open_output_stream(own)
                     row = {"shard": part << 24 | shard, "path": f"{path}/{name}", "n_docs": 0, "n_ids": 0, "n_bytes": 0}
-                some = known.encode(text) + end
+                some = found + end
                 if ids and size + len(some) // 4 > block_ids:
                     flush()
                 doc_ids.append(doc_id)

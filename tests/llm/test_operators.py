@@ -1,5 +1,6 @@
 """Each operator against brute force on small tables with nulls, empty and long texts, ties, repeated rows and clashing column names."""
 
+import json
 import random
 import re
 import time
@@ -10,6 +11,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -525,6 +527,53 @@ def test_encoder_equals_the_library(spark, tokenizer):
         assert np.frombuffer(e.encode(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t[:80]
 
 
+def test_encoder_merges_plain_words_itself(tokenizer):
+    """Plain texts never ask the library: whole texts of many words, batches with null and empty ones, words around the widest."""
+    e, r = encoder.Encoder(encoder.vocabulary_path()), random.Random(12)
+    letters = ["abcdefghijklmnopqrstuvwxyz", "aaab", "etaoinshr", "ABCdefßéÀÞñÿçö", "thein"]
+    words = ["".join(r.choices(r.choice(letters), k=r.randint(1, 16))) + r.choice(["", ".", ",", "&&&", "...", "42", ")", "-x9", "<", "|"]) for _ in range(20_000)]
+    texts = [None, "", " ", "\n", *(" ".join(words[k : k + 500]) for k in range(0, len(words), 500)), "", None, "a" * encoder.WIDEST + " é" * 3]
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    e._model = e._tokenizer = None
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode_all(texts)] == want
+
+
+def test_encoder_keeps_what_is_frequent(tokenizer):
+    """Of parts that need the library, frequent ones outlive rare ones, the cache is bounded, and long ones aren't kept."""
+    e = encoder.Encoder(encoder.vocabulary_path(), cache_parts=40)
+    asked, ask = Counter(), e._known._ask
+    e._known._ask = lambda part: asked.update([part]) or ask(part)
+    for i in range(300):
+        t = f"don't 日本 x'{i} {'é́' * encoder.LONGEST} {'b' * encoder.WIDEST}{i}c d{'b' * encoder.WIDEST}"
+        assert np.frombuffer(e.encode(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+    assert asked["don't"] == asked["日本"] == 1 and asked["é́" * encoder.LONGEST] == 300
+    assert len(e._known) + len(e._known._before) <= 40 and all(len(p) <= encoder.LONGEST for p in e._known)
+
+
+def test_encoder_without_merges_of_its_own(tokenizer):
+    """A model of another kind isn't merged here, and the library gives the same."""
+    model = json.loads(tokenizer.to_str())["model"]
+    assert encoder._Merges.suits(model) and not any(encoder._Merges.suits(model | x) for x in ({"type": "WordPiece"}, {"ignore_merges": True}, {"dropout": 0.1}, {"end_of_word_suffix": "@"}))
+    e = encoder.Encoder(encoder.vocabulary_path())
+    e._merges = None
+    t = "Gamente, don't go: ÀÉ 12.5 <|endoftext|> <|ENDOFTEXT|> 日本"
+    assert np.frombuffer(e.encode(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_slices_follow_bytes():
+    texts = ["a" * 10, None, "é" * 40, "", "b" * 1000, "c", "d" * 3]
+    made = [b["text"].to_pylist() for b in encoder.slices(iter([pa.RecordBatch.from_pydict({"text": texts}), pa.RecordBatch.from_pydict({"text": pa.array([], "string")})]), 100)]
+    assert made == [["a" * 10, None, "é" * 40, ""], ["b" * 1000], ["c", "d" * 3]]
+    assert [b.num_rows for b in encoder.slices(iter([pa.RecordBatch.from_pydict({"text": pa.nulls(120)})]), 100)] == [100, 20]
+
+
+@pytest.mark.parametrize("ids", [[], [7], [5, 3, 3, 9, 5, 0, 2], [token_files.TABLE_IDS - 1, 4], [token_files.TABLE_IDS, 4, 4], [2**32 - 1, 5, 5, 2**32 - 1, 1]])
+def test_op4_ranks(ids):
+    """By a table or by sorting: most frequent first, then by id."""
+    values, places = token_files.ranked(np.array(ids, "<u4"))
+    assert values.tolist() == sorted(set(ids), key=lambda i: (-ids.count(i), i)) and [values[p] for p in places] == ids
+
+
 def test_op4_files(docs, empty, tokenizer, tmp_path):
     manifest = token_files.write_token_shards(docs, f"file://{tmp_path}/tokens", shard_bytes=10_000, block_ids=500, task_bytes=20_000)
     manifest = manifest.sparkSession.createDataFrame(manifest.collect(), manifest.schema)
