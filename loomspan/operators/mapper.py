@@ -2,7 +2,8 @@
 
 Filters and columns that the function needs are applied below it, since Catalyst can't see into
 Python. Results stay a DataFrame, or come as a list, an ordered iterator, or an iterator in order
-of completion.
+of completion. What a list or iterator would bring to the driver can be kept as a table instead:
+the same batches, run and tuned alike, but written where they are made.
 
 Rows reach a function as Python values made from Arrow, never through floats: a long stays a long
 beside nulls, and a null is None. A backend runs the batches: executors' workers, one Spark job a
@@ -12,8 +13,10 @@ those of the caller's scope, with the nested backend.
 
 from __future__ import annotations
 
+import bisect
 import contextlib
 import functools
+import itertools
 import pickle
 import sys
 import threading
@@ -27,7 +30,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -35,12 +38,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from loomspan.functions.scalars import arithmetic, is_silent, short_time, size_bytes
 from loomspan.operators.batching import BatchTuner, look_ahead
 from loomspan.plans.config import UNSET, ArrowBackend, Backend, SequentialBackend, active_backend, carried, effective_n_jobs, make_backend, scope_for_tasks, setting, started
-from loomspan.plans.numbering import numbered
-from loomspan.plans.scratch import drop, written
+from loomspan.plans.scratch import drop, scratch_path, written
 from loomspan.plans.sharing import with_shared_arguments
 
 DELIVERY = ("frame", "list", "generator", "generator_unordered")
-_ERROR, _TOOK = "__loomspan_error", "__loomspan_seconds"
+_ERROR, _TOOK, _SIZE = "__loomspan_error", "__loomspan_seconds", "__loomspan_bytes"
+#: Arrow bytes of results that may wait on the driver where batches are tuned, and most rows that Spark hands to Python at once.
+MOST_HELD, ARROW_ROWS = 32 << 20, 10_000
 
 
 @dataclass(frozen=True)
@@ -87,6 +91,24 @@ def batch_of(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([plain(r.get(f.name), f.type) for r in rows], f.type) for f in schema], schema=schema)
 
 
+def whole(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ``size``; the last may be shorter."""
+    held, n = [], 0
+    for b in batches:
+        while b.num_rows:
+            held.append(b.slice(0, size - n))
+            n, b = n + held[-1].num_rows, b.slice(held[-1].num_rows)
+            if n == size:
+                yield _joined(held)
+                held, n = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
 def frame_of(batch: pa.RecordBatch) -> pd.DataFrame:
     """As pandas; whole numbers beside nulls in pandas' nullable types, as floats would change them."""
     nullable = {pa.int8(): pd.Int8Dtype(), pa.int16(): pd.Int16Dtype(), pa.int32(): pd.Int32Dtype(), pa.int64(): pd.Int64Dtype()}
@@ -195,81 +217,142 @@ class MapEngine:
         found = self._batched(function, df, T.StructType.fromDDL(schema) if isinstance(schema, str) else schema)
         return list(found) if self.return_as == "list" else found
 
+    def table(self, function: Callable, df: DataFrame, schema: str | T.StructType) -> DataFrame:
+        """What a call delivers, as a table: batches, errors and timeout are those of the list or iterator, but each batch is written where it is made.
+
+        The driver holds a count and a duration for each batch at work, and no rows.
+        """
+        schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        if self.return_as == "frame":
+            return written(self.frame(function, df, schema), "mapped")
+        if not self._running.acquire(blocking=False):
+            raise RuntimeError("this engine is at work; its results must be consumed first")
+        spark, path = df.sparkSession, scratch_path(df.sparkSession, "mapped")
+        spark.createDataFrame([], schema).write.parquet(f"{path}/none")
+        back = spark.read.schema(schema).option("recursiveFileLookup", "true")
+        try:
+            for _ in self._batched(function, df, schema, path):
+                pass
+        except BaseException:
+            made = back.parquet(f"{path}/none")
+            made._scratch = path
+            drop(made)
+            raise
+        made = back.parquet(path)
+        made._scratch = path
+        return made
+
     def _sizes(self, n: int, backend: Backend) -> Iterator[tuple[int, int]]:
-        """(first place, size) of batch after batch, as they are asked for; "auto" follows the tuner, and gets finer near the end."""
-        at = 0
+        """(first place, size) of what is dispatched, as it is asked for; "auto" follows the tuner, and gets finer near the end.
+
+        Batches of a small given size that are kept as a table go several at a time, as many as the
+        tuner says; each is still a batch of its own to the function.
+        """
+        at, piece, given = 0, 0, self.batch_size if isinstance(self.batch_size, int) else None
+        grouped = given is not None and self._kept and given < ARROW_ROWS and backend.batches()
         while at < n:
-            if isinstance(self.batch_size, int):
-                size = self.batch_size
+            if given is not None and not grouped:
+                size = given
             elif not backend.batches():
-                size = 1
+                size = max(1, min(ARROW_ROWS, n // (10 * self.n_jobs))) if self._kept else 1
             else:
-                size, left = self._tuner.next_size(), n - at
-                if left < size * self.n_jobs:
-                    size = look_ahead(left, self.n_jobs, at > 0)
+                size, left = self._tuner.next_size(), -(-(n - at) // given) if grouped else n - at
+                if not piece and left < size * self.n_jobs:  # the rest is cut up once: else pieces would shrink to single rows
+                    piece = look_ahead(left, self.n_jobs, at > 0)
+                size = piece or size
+                size = size * given if grouped else min(size, self._most)
             size = min(size, n - at)
             yield at, size
             at += size
 
-    def _batched(self, function: Callable, df: DataFrame, schema: T.StructType) -> Iterator[Row]:
+    def _batched(self, function: Callable, df: DataFrame, schema: T.StructType, keep: str | None = None) -> Iterator[Row]:
         """Batches of consecutive places in the order of ``task_id``, so many at a time as ``ahead`` says.
 
-        The input is run once: rows are numbered by the order of ``task_id``, nulls first, and
-        written; a batch reads its range of places, other ranges are left out by their bounds.
+        The input is run once: rows are sorted by ``task_id``, nulls first, and written; within a
+        partition their ids count up by one, so a file's first id and number of rows tell the
+        places in it. A batch reads the files that hold its places. With ``keep``, results are
+        written into folders below it, and nothing is delivered.
         """
         spark, tag = df.sparkSession, f"loomspan-{uuid.uuid4().hex}"
         ordered, frames = self.return_as != "generator_unordered", self.frames
-        own = self._cut(df, "task_id")
-        table = written(numbered(own.select(F.struct("*").alias("row"), F.col("task_id").alias("id")), F.asc_nulls_first("id"), as_="place").select("place", "row"), "tasks")
-        n = table.count()
+        own = self._cut(df, "task_id").select(F.struct("*").alias("row"), F.col("task_id").alias("id")).orderBy(F.asc_nulls_first("id"))
+        table = written(own.select("row", F.monotonically_increasing_id().alias("place")), "tasks")
+        found = table.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.min("place").alias("first"), F.count("*").alias("n")).orderBy("first").collect()  # a row a file
+        begins = [0, *itertools.accumulate(f["n"] for f in found)]
+        n = begins.pop()
         if self.max_bytes is not None and not self.backend.shares:
             function = with_shared_arguments(spark, function, self.max_bytes)
         apply = _applied(function, schema, frames, scope_for_tasks(self.backend), self._ready)
-        guarded = T.StructType([T.StructField("result", schema), T.StructField(_ERROR, T.BinaryType()), T.StructField(_TOOK, T.DoubleType())])
+        guarded = T.StructType([T.StructField("result", schema), T.StructField(_ERROR, T.BinaryType()), T.StructField(_TOOK, T.DoubleType()), T.StructField(_SIZE, T.LongType())])
         result_kind = to_arrow_schema(guarded)
 
+        given = self.batch_size if keep and isinstance(self.batch_size, int) and self.batch_size < ARROW_ROWS else None
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in whole(batches, given) if given else batches:
                 t = time.monotonic()
                 try:
                     out = apply(batch)
-                    took = pa.array([time.monotonic() - t, *[None] * (out.num_rows - 1)][: out.num_rows], pa.float64())
-                    yield pa.RecordBatch.from_arrays([out.to_struct_array().cast(result_kind.field(0).type), pa.nulls(out.num_rows, pa.binary()), took], schema=result_kind)
+                    once = lambda v, kind: pa.array([v, *[None] * (out.num_rows - 1)][: out.num_rows], kind)  # noqa: B023, E731
+                    took, size = once(time.monotonic() - t, pa.float64()), once(out.nbytes, pa.int64())
+                    yield pa.RecordBatch.from_arrays([out.to_struct_array().cast(result_kind.field(0).type), pa.nulls(out.num_rows, pa.binary()), took, size], schema=result_kind)
                 except Exception as e:  # noqa: BLE001 - raised again by the caller with its own type
                     e.add_note("".join(traceback.format_exception(e)))
-                    yield pa.RecordBatch.from_arrays([pa.nulls(1, result_kind.field(0).type), pa.array([_pickled(e)], pa.binary()), pa.nulls(1, pa.float64())], schema=result_kind)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, result_kind.field(0).type), pa.array([_pickled(e)], pa.binary()), pa.nulls(1, pa.float64()), pa.nulls(1, pa.int64())], schema=result_kind)
                     return
 
         def part(start: int, size: int) -> DataFrame:
-            return table.where((F.col("place") >= start) & (F.col("place") < start + size)).coalesce(1).sortWithinPartitions("place").select("row.*")
+            i, j = bisect.bisect_right(begins, start) - 1, bisect.bisect_left(begins, start + size) - 1
+            least, most = found[i]["first"] + start - begins[i], found[j]["first"] + start + size - 1 - begins[j]
+            rows = spark.read.schema(table.schema).parquet(*(f"{table._scratch}/{f['file']}" for f in found[i : j + 1])).where(F.col("place").between(least, most))
+            return rows.coalesce(1).sortWithinPartitions("place").select("row.*")
 
-        def job(start: int, size: int) -> tuple[list[Row], float]:
-            """On the executors; the results and the seconds that the function took, without the job's own."""
+        @contextlib.contextmanager
+        def tagged() -> Iterator[None]:
             spark.addTag(tag)
             try:
-                rows = part(start, size).mapInArrow(run, guarded).collect()
+                yield
             finally:
                 spark.removeTag(tag)
+
+        def job(start: int, size: int) -> tuple[list[Row], float, int]:
+            """On the executors; the results, the seconds that the function took, without the job's own, and the results' bytes."""
+            with tagged():
+                rows = part(start, size).mapInArrow(run, guarded).collect()
             for r in rows:
                 if r[_ERROR] is not None:
                     raise pickle.loads(r[_ERROR])
-            return [r["result"] for r in rows], sum(r[_TOOK] or 0.0 for r in rows)
-
-        def here(start: int, size: int) -> tuple[list[Row], float]:
+            return [r["result"] for r in rows], sum(r[_TOOK] or 0.0 for r in rows), sum(r[_SIZE] or 0 for r in rows)
+
+        def kept(start: int, size: int) -> tuple[list[Row], float, int]:
+            """On the executors, where the results stay."""
+            seen = Observation()
+            with tagged():
+                rows = part(start, size).mapInArrow(run, guarded).observe(seen, F.sum(_TOOK).alias("took"), F.max(_ERROR).alias("error"))
+                rows.select("result.*").write.option("compression", "zstd").parquet(f"{keep}/{start}")
+            if seen.get["error"] is not None:
+                raise pickle.loads(seen.get["error"])
+            return [], seen.get["took"] or 0.0, 0
+
+        def here(start: int, size: int) -> tuple[list[Row], float, int]:
             """On the driver, sharing its objects."""
             batches, t = part(start, size).toArrow().to_batches(), time.monotonic()
-            rows = [r for b in batches for r in rows_of(apply(b))]
-            return [Row(**{k: r[k] for k in schema.names}) for r in rows], time.monotonic() - t
+            made = [apply(b) for b in (whole(batches, given) if given else batches)]
+            took = time.monotonic() - t
+            if keep:
+                spark.createDataFrame(pa.Table.from_batches(made, to_arrow_schema(schema)), schema).write.option("compression", "zstd").parquet(f"{keep}/{start}")
+                return [], took, 0
+            return [Row(**{k: r[k] for k in schema.names}) for b in made for r in rows_of(b)], took, 0
 
         began, done, unused, finished = time.monotonic(), 0, 0, False
-        self._tuner = BatchTuner()
+        self._tuner, self._most, self._kept, unit = BatchTuner(), n, keep is not None, given or 1
         waiting: dict = {}
         with self._started(spark) as backend:
-            do = here if backend.shares else job
+            do = here if backend.shares else kept if keep else job
             queue = self._sizes(n, backend)
             out = sys.stdout if self.verbose >= 50 else sys.stderr
 
-            def timed(start: int, size: int) -> tuple[list[Row], float, int]:
+            def timed(start: int, size: int) -> tuple[list[Row], float, int, int]:
                 return *do(start, size), size
 
             def dispatch(most: int | None) -> None:
@@ -286,8 +369,10 @@ class MapEngine:
                         raise TimeoutError(f"no result within {self.timeout} s")
                     for f in ready:
                         start = waiting.pop(f)
-                        rows, took, size = f.result()
-                        self._tuner.completed(size, max(took, 1e-9))
+                        rows, took, n_bytes, size = f.result()
+                        self._tuner.completed(-(-size // unit), max(took, 1e-9))
+                        if n_bytes and self.ahead():  # so many rows a batch that all those at work aren't more than the driver may hold
+                            self._most = max(1, min(self._most, MOST_HELD * size // (n_bytes * self.ahead())))
                         done += size
                         if not is_silent(done, self.verbose):
                             print(f"{done} of {n} tasks, {short_time((time.monotonic() - began) / done * (n - done))} left", file=out)

@@ -122,10 +122,9 @@ def map_list_all_ids(spark, d):
 
 @query("select l_orderkey * 8 + l_linenumber as task_id, l_quantity::bigint as y from lineitem")
 def map_auto_batches(spark, d):
-    """The unordered iterator with batches that the tuner makes."""
+    """The unordered iterator with batches that the tuner makes, kept as a table."""
     e = _t(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("task_id"), F.col("l_quantity").cast("long").alias("y"))
-    rows = list(MapEngine(return_as="generator_unordered")(dict, e, "task_id long, y long"))
-    return spark.createDataFrame(rows, "task_id long, y long")
+    return MapEngine(return_as="generator_unordered").table(dict, e, "task_id long, y long")
 
 
 @query("select o_orderkey as task_id, ((o_orderkey % 1000) * (o_orderkey % 1000))::bigint as y from orders")

@@ -3,6 +3,7 @@ import warnings
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.operators.batching import BatchTuner, look_ahead, smoothed, tuned_size
@@ -448,6 +449,35 @@ def test_auto_batches_grow(spark):
     assert len(one(square, tasks(spark, range(5), "x long"), SQUARE)) == 5 and sizes == [1] * 5
 
 
+@pytest.mark.parametrize("name", ["map_auto_batches"])
+def test_queries_of_lists_keep_rows_off_the_driver(spark, monkeypatch, name):
+    from loomspan.queries import QUERIES
+
+    most, real = [0], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda df: (out := real(df), most.append(len(out)))[0])
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").count() >= 1000 and max(most) < 100
+
+
+def test_tables_are_the_lists(spark):
+    rows = [(i, n) for i, n in zip([-1, 0, None, 3, 3, 2**40, None, *range(50, 80)], [2**53 + 1, None, 1, 2, 2, 3, 4, *range(30)], strict=True)]
+    df = spark.createDataFrame(rows, "task_id long, n long").repartition(3)
+    for mode, batch in (("frame", "auto"), ("list", 7), ("generator_unordered", "auto")):
+        got = MapEngine(return_as=mode, batch_size=batch, n_jobs=2).table(whole_numbers, df, "task_id long, y long")
+        assert sorted(map(str, ((r.task_id, r.y) for r in got.collect()))) == sorted(map(str, rows)), (mode, batch)
+    here = MapEngine(return_as="list", backend="threads", n_jobs=2).table(whole_numbers, df, "task_id long, y long")
+    assert sorted(map(str, ((r.task_id, r.y) for r in here.collect()))) == sorted(map(str, rows))
+    of = MapEngine(return_as="list", batch_size=7, frames=True, n_jobs=2).table(lambda p: p.assign(y=len(p))[["task_id", "y"]], df, "task_id long, y long")
+    assert {r.y: r.n for r in of.groupBy("y").agg(F.count("*").alias("n")).collect()} == {7: 35, 2: 2}
+    assert MapEngine(return_as="list").table(whole_numbers, df.limit(0), "task_id long, y long").collect() == []
+
+    def bad(r):
+        raise KeyError("this one")
+
+    with pytest.raises(KeyError, match="this one"), warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        MapEngine(return_as="list", batch_size=7, n_jobs=2).table(bad, df, SQUARE)
+
+
 class Counting(C.ThreadBackend):
     name = "counting"
     made: list = []
