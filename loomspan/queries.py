@@ -114,10 +114,9 @@ def stream_fold(spark, d):
 
 @query("select event_id as task_id, value + 1 as y from events")
 def map_list_all_ids(spark, d):
-    """The list mode over ids that are neither dense nor in order; its rows as a table again."""
+    """The list mode's batches over ids that are neither dense nor in order, kept as a table: a list of all rows is more than a driver holds."""
     e = _t(spark, d, "events").select((F.col("event_id") * 1_000_003 - 5_000_000).alias("task_id"), "event_id", "value")
-    rows = MapEngine(return_as="list", batch_size=2500)(lambda r: {"task_id": r["event_id"], "y": r["value"] + 1}, e, "task_id long, y double")
-    return spark.createDataFrame(rows, "task_id long, y double")
+    return MapEngine(return_as="list", batch_size=2500).table(lambda r: {"task_id": r["event_id"], "y": r["value"] + 1}, e, "task_id long, y double")
 
 
 @query("select l_orderkey * 8 + l_linenumber as task_id, l_quantity::bigint as y from lineitem")

@@ -449,7 +449,7 @@ def test_auto_batches_grow(spark):
     assert len(one(square, tasks(spark, range(5), "x long"), SQUARE)) == 5 and sizes == [1] * 5
 
 
-@pytest.mark.parametrize("name", ["map_auto_batches"])
+@pytest.mark.parametrize("name", ["map_list_all_ids", "map_auto_batches"])
 def test_queries_of_lists_keep_rows_off_the_driver(spark, monkeypatch, name):
     from loomspan.queries import QUERIES
 
