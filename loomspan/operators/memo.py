@@ -1,8 +1,8 @@
 """Never computing the same thing twice: a memo of row-wise function results.
 
-A call is a row. Its key is the hash of the function's arguments; equal rows are one call. Keys are
-looked up by semi and anti join, misses are deduplicated and mapped once, appended, and all rows
-get their results by one join. Results and metadata are Parquet below ``location``:
+A call is a row. Its key is the hash of the function's arguments; equal rows are one call. Keys,
+without their rows, are counted and looked up by anti join; rows of those that miss are shuffled
+once, by ranges of keys, mapped once a key, appended, and all rows get their results by one join. Results and metadata are Parquet below ``location``:
 
     functions/<func_id>/code.json         source that the results belong to
     functions/<func_id>/runs/<run>.json   a run that is there: its bytes, and runs that it replaces
@@ -47,6 +47,8 @@ from loomspan.plans.scratch import drop, written
 KEY = "args_id"
 #: Runs of a function that are left apart, seconds that merged ones' files stay, and keys that are looked for by their values.
 MOST_RUNS, GRACE, FEW_KEYS = 8, 86_400, 100
+#: Equal rows that may meet in a task.
+MOST_COPIES = 1_000
 #: Seconds that writing a call's metadata may take without a warning.
 SLOW_WRITE = 5.0
 
@@ -372,15 +374,19 @@ class Memoised:
         _CHECKED[place] = digest
         return False
 
-    def stored(self, keys: DataFrame | None = None) -> DataFrame:
-        """The newest stored row of each key; with ``keys``, at least all rows of these. Few keys are looked for by value, so other files' ranges are left out."""
+    def _stored_rows(self, keys: DataFrame | None = None) -> tuple[DataFrame, int]:
+        """Rows of all runs, and how many runs there are; with ``keys``, at least all rows of these. Few keys are looked for by value, so other files' ranges are left out."""
         store, live = self.memo.store, _runs(self.memo.store, self.func_id)[0]
         rows = store.read([f"items/{self.func_id}/{r}" for r in live], self._stored)
         if keys is not None and live:
             some = keys.select(KEY).limit(FEW_KEYS + 1).collect()
             if len(some) <= FEW_KEYS:
                 rows = rows.where(F.col(KEY).isin([r[KEY] for r in some]))
-        return _newest(rows, len(live))
+        return rows, len(live)
+
+    def stored(self, keys: DataFrame | None = None) -> DataFrame:
+        """The newest stored row of each key; with ``keys``, at least all rows of these."""
+        return _newest(*self._stored_rows(keys))
 
     def results(self, keys: DataFrame | None = None) -> DataFrame:
         return self.stored(keys).select(KEY, "result")
@@ -399,25 +405,29 @@ class Memoised:
         return self.keyed(df).join(there, KEY, "left").select("row.*", F.coalesce("there", F.lit(False)).alias("is_hit"))
 
     # computing
-    def _computed(self, distinct: DataFrame, run: str = "") -> DataFrame:
+    def _computed(self, rows: DataFrame, run: str = "") -> DataFrame:
+        """Results of ``rows``; of neighbours with the same key only the first is computed."""
         function, schema, names = self.function, to_arrow_schema(self._stored), self.schema.names
 
         def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last = None
             for batch in batches:
                 out = []
                 for r in rows_of(batch):
-                    began = time.time()
+                    if r[KEY] == last:
+                        continue
+                    last, began = r[KEY], time.time()
                     result = function(r["row"])
                     now = time.time()
                     out.append({KEY: r[KEY], "result": {k: result[k] for k in names}, "time": now, "duration": now - began, "input": json.dumps({k: repr(v) for k, v in r["row"].items()}), "size_bytes": len(repr(result)), "run": run})
                 yield batch_of(out, schema)
 
-        return distinct.select("row", KEY).mapInArrow(compute, self._stored)
+        return rows.select("row", KEY).mapInArrow(compute, self._stored)
 
     def _readable(self, keys: DataFrame) -> None:
-        """Reads what a call needs; runs that can't be read are dropped."""
+        """Reads the runs that a call needs, without a shuffle; those that can't be read are dropped."""
         try:
-            self.stored(keys).join(keys.select(KEY), KEY, "left_semi").write.format("noop").mode("overwrite").save()
+            self._stored_rows(keys)[0].write.format("noop").mode("overwrite").save()
         except Exception as e:  # noqa: BLE001 - a store that can't be read costs a computation, no more
             store, bad = self.memo.store, []
             for name in _runs(store, self.func_id)[0]:
@@ -432,19 +442,27 @@ class Memoised:
             warnings.warn(f"{self.func_id}: {len(bad)} runs of stored results can't be read ({str(e)[:200]}); computing them again", stacklevel=4)
 
     def _fill(self, keyed: DataFrame, force: bool = False) -> DataFrame:
-        """Computes what isn't there; the distinct keys, as a table."""
+        """Computes what isn't there; the distinct keys and how many rows have each, as a table."""
         store, run = self.memo.store, uuid.uuid4().hex
         self.check_code()
-        distinct = written(keyed.dropDuplicates([KEY]), "calls")
+        distinct = written(keyed.groupBy(KEY).agg(F.count("*").alias("copies")), "calls")
         if not force:
             self._readable(distinct)
-        misses = distinct if force else written(distinct.join(self._valid(self.stored(distinct)).select(KEY), KEY, "left_anti"), "misses")
-        n = misses.count()
+        known = not force and bool(_runs(store, self.func_id)[0])
+        misses = written(distinct.join(self._valid(self.stored(distinct)).select(KEY), KEY, "left_anti"), "misses") if known else distinct
+        n, most = misses.agg(F.count("*"), F.max("copies")).first()
         if n:
             # a number of tasks of our own: few bytes may be much work, and tasks of few bytes are merged otherwise
             tasks = min(n, max(int(self.memo.spark.conf.get("spark.sql.shuffle.partitions")), self.memo.spark.sparkContext.defaultParallelism))
-            store.append(self._computed(misses.repartitionByRange(tasks, KEY).sortWithinPartitions(KEY), run), f"items/{self.func_id}/{run}")
+            rows = keyed.join(misses.select(KEY), KEY, "left_semi") if known and n < distinct.count() else keyed
+            if most > MOST_COPIES:  # else all of them would meet in one task
+                rows = rows.dropDuplicates([KEY])
+            # keys are digests, so their first 28 bits cut them into even ranges without a look at them
+            at = F.floor(F.conv(F.substring(KEY, 1, 7), 16, 10).cast("long") * tasks / F.lit(1 << 28)).cast("int")
+            store.append(self._computed(rows.repartitionById(tasks, at).sortWithinPartitions(KEY), run), f"items/{self.func_id}/{run}")
             _commit(store, self.func_id, run)
+        if misses is not distinct:
+            drop(misses)
         began = time.monotonic()
         try:
             store.append(distinct.select(KEY, F.lit(time.time()).alias("time")), f"access/{self.func_id}/{uuid.uuid4().hex}")

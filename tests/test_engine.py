@@ -297,6 +297,20 @@ def test_memo_survives_damage(spark, tmp_path):
     assert f(df).count() == 20 and runs(log) > n
 
 
+def test_memo_moves_keys(spark, tmp_path, monkeypatch):
+    """Rows with their texts aren't written on the way to the store."""
+    from loomspan.operators import memo as M
+
+    seen, real = [], M.written
+    monkeypatch.setattr(M, "written", lambda df, *a: (seen.append(df.columns), real(df, *a))[1])
+    docs = spark.range(40).select("id", F.repeat(F.lit("word "), (F.col("id") % 10 + 1).cast("int")).alias("text"))
+    f = Memo(spark, f"file://{tmp_path}/m").cache(lambda r: {"n": len(r["text"])}, schema="n long", ignore=("id",))
+    for df, copies in ((docs.where("id % 2 = 0"), 1_000), (docs, 1_000), (docs.selectExpr("id", "text || 'x' as text"), 1)):
+        monkeypatch.setattr(M, "MOST_COPIES", copies)
+        assert sorted((r.id, r.n) for r in f(df).collect()) == sorted((r.id, len(r.text)) for r in df.collect())
+    assert f.stored().count() == 20 and all("row" not in c for c in seen)
+
+
 def test_memo_eviction_frees_bytes_and_runs_are_merged(spark, tmp_path):
     memo = Memo(spark, f"file://{tmp_path}/memo")
     f = memo.cache(echo, schema="seen string")
