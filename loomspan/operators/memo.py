@@ -47,12 +47,25 @@ from loomspan.plans.scratch import drop, written
 KEY = "args_id"
 #: Runs of a function that are left apart, seconds that merged ones' files stay, and keys that are looked for by their values.
 MOST_RUNS, GRACE, FEW_KEYS = 8, 86_400, 100
-#: Equal rows that may meet in a task.
-MOST_COPIES = 1_000
+#: Bytes of arguments that a worker turns into Python values at once, and equal rows that may meet in a task.
+SLICE_BYTES, MOST_COPIES = 4 << 20, 1_000
 #: Seconds that writing a call's metadata may take without a warning.
 SLOW_WRITE = 5.0
 
 
+def in_slices(batches: Iterator[pa.RecordBatch], n_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``n_bytes``, at least a row: values, their texts and results take several times that."""
+    for batch in batches:
+        waiting = [batch]
+        while waiting:
+            b = waiting.pop()
+            if b.num_rows > 1 and b.nbytes > n_bytes:
+                half = b.num_rows // 2
+                waiting += [b.slice(half), b.slice(0, half)]
+            else:
+                yield b
+
+
 class CollisionWarning(UserWarning):
     """Two functions share a name, or a function's code changed."""
 
@@ -411,7 +424,7 @@ class Memoised:
 
         def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last = None
-            for batch in batches:
+            for batch in in_slices(batches):
                 out = []
                 for r in rows_of(batch):
                     if r[KEY] == last:

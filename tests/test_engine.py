@@ -2,6 +2,7 @@ import time
 import warnings
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -297,8 +298,8 @@ def test_memo_survives_damage(spark, tmp_path):
     assert f(df).count() == 20 and runs(log) > n
 
 
-def test_memo_moves_keys(spark, tmp_path, monkeypatch):
-    """Rows with their texts aren't written on the way to the store."""
+def test_memo_moves_keys_and_computes_in_slices(spark, tmp_path, monkeypatch):
+    """Rows with their texts aren't written on the way to the store, nor are many made Python values at once."""
     from loomspan.operators import memo as M
 
     seen, real = [], M.written
@@ -309,6 +310,9 @@ def test_memo_moves_keys(spark, tmp_path, monkeypatch):
         monkeypatch.setattr(M, "MOST_COPIES", copies)
         assert sorted((r.id, r.n) for r in f(df).collect()) == sorted((r.id, len(r.text)) for r in df.collect())
     assert f.stored().count() == 20 and all("row" not in c for c in seen)
+    batch = pa.RecordBatch.from_pydict({"row": ["x" * 1000] * 101})
+    some = list(M.in_slices(iter([batch]), 10_000))
+    assert max(b.nbytes for b in some) <= 10_000 and pa.Table.from_batches(some).equals(pa.Table.from_batches([batch]))
 
 
 def test_memo_eviction_frees_bytes_and_runs_are_merged(spark, tmp_path):
